@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step takes; a longer text makes a step of its own.
 STEP_BYTES = 1 << 20
+#: Text keys that a task remembers, to pass over further copies of a text before a shuffle.
+SEEN = 200_000
 _LONG_WORD = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -145,3 +147,21 @@ def steps(column: pa.Array, word: np.ndarray, lower: bool, limit: int = STEP_BYT
         hi = min(hi, n)
         yield lo, hi, Texts(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], word, lower)
         lo = hi
+
+
+def once(texts: DataFrame) -> DataFrame:
+    """k1, k2, text without the further copies that a task meets (the last SEEN keys are remembered), before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            new = []
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    new.append(i)
+            yield batch.take(pa.array(new, pa.int64()))
+
+    return texts.mapInArrow(run, texts.schema)
