@@ -42,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def semi(df: DataFrame, keys: DataFrame, on: list[str], broadcast_rows: int = 1_000_000) -> DataFrame:
+def semi(df: DataFrame, keys: DataFrame, on: list[str], broadcast_rows: int = 250_000) -> DataFrame:
     """Rows of df whose key is in keys (a written table): by broadcast up to broadcast_rows, by a shuffle beyond."""
     few = keys.limit(broadcast_rows + 1).count() <= broadcast_rows
     return df.join(F.broadcast(keys) if few else keys, on, "left_semi")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanack.llm import decontam, packing, substring
+from almanack.llm import decontam, jaccard, packing, substring
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removals(_t(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.JaccardJoin(_t(spark, sf_dir, "documents")).members()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_packing": op4_packing, "op7_decontamination": op7_decontamination, "op9_substring_dedup": op9_substring_dedup}
+    return {"op4_packing": op4_packing, "op7_decontamination": op7_decontamination, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
