@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 #: Text keys that a task remembers, to pass over further copies of a text before a shuffle.
 SEEN = 200_000
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LONG_WORD = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -38,7 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, so a lost executor costs one task's rework."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # the step's shuffle files go when its table is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

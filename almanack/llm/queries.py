@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanack.llm import decontam, jaccard, packing, substring
+from almanack.llm import decontam, jaccard, packing, sharding, substring, topk
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,28 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_t(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    return sharding.shard(_t(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_t(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, 1 + len(q.v)), lambda i: q.v[i] * c.v[i])) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
+)
+select query_id, rank, vec_id, score
+from (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s) where rank <= 5
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -36,8 +58,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_packing": op4_packing, "op7_decontamination": op7_decontamination, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
+    return {"op4_packing": op4_packing, "op5_sharding": op5_sharding, "op6_topk": op6_topk, "op7_decontamination": op7_decontamination, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": OP6_SQL}
