@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step takes; a longer text makes a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 #: Text keys that a task remembers, to pass over further copies of a text before a shuffle.
 SEEN = 200_000
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a step is written: its shuffle files go as soon as its table is there, and whole texts reach Python in small batches.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _LONG_WORD = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -39,12 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, so a lost executor costs one task's rework."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")  # the step's shuffle files go when its table is written
+    was = {k: spark.conf.get(k, None) for k in _STEP}
+    for k, v in _STEP.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

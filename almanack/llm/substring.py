@@ -183,7 +183,7 @@ def _cut(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
 def removals(docs: DataFrame, window: int = 35) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     base, copies, texts, live = repeated_windows(docs, window)
-    parts = _cut(texts.join(live, ["k1", "k2"]).join(copies, ["k1", "k2"], "left_anti"), window, False).select("k1", "k2", "n_removed", "kept_sha256")
+    parts = written(_cut(texts.join(live, ["k1", "k2"]).join(copies, ["k1", "k2"], "left_anti"), window, False).select("k1", "k2", "n_removed", "kept_sha256"), "substring-cut")
     none = hashlib.sha256(b"").hexdigest()
     whole = copies.select("k1", "k2", F.lit(None).cast("bigint").alias("n_removed"), F.lit(none).alias("kept_sha256"))
     changed = parts.unionByName(whole).withColumn("hit", F.lit(True))
