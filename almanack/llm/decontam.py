@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almanack.llm.common import Texts, byte_table, written
 
@@ -100,9 +101,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     return state
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
+    """docs without the contaminated rows; all columns unchanged."""
+    rows = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    return decontaminate(rows, benchmark, **more).where("not contaminated").select("doc_id.*")
+
+
 def _scan(state: DataFrame, sent, window: int, share: int, last: bool, spans: bool) -> DataFrame:
-    kind = state.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ("n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", hit_spans array<struct<start: int, `end`: int>>" * spans if last else "text string, marks binary, items array<string>")
+    more = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", hit_spans array<struct<start: int, `end`: int>>" * spans if last else "text string, marks binary, items array<string>"
+    schema = T.StructType([T.StructField("doc_id", state.schema["doc_id"].dataType), *T.StructType.fromDDL(more)])
 
     name = uuid.uuid4().hex
 

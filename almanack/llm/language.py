@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almanack.llm import grams
 from almanack.llm.common import NOT_SPACE, steps
@@ -141,7 +142,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     """The columns named in keep, lang_pred, score (calibrated probability of lang_pred) and rejected, for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     n = len(keep)
-    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    schema = T.StructType([*(T.StructField(k, docs.schema[k].dataType) for k in keep), *T.StructType.fromDDL("lang_pred string, score double, rejected boolean")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -161,7 +162,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
             out = [*(batch.column(i) for i in range(n)), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([a == "und" or b < (model.floor if model else 0) for a, b in zip(lang, score, strict=True)], pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(*(F.col(k) for k in keep), F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return docs.select(*(F.col(k) for k in keep), F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:

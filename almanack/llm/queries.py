@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import decontam, jaccard, language, packing, quality, sharding, substring, topk
+from almanack.llm import decontam, jaccard, language, licenses, packing, quality, sharding, substring, topk, urlfilter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_t(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     out = language.predict(docs, language.train(docs))
@@ -62,6 +66,39 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+#: The stated rules of op8.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(_t(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _op8_sql(rounds: int = 20) -> str:
+    """The same scores by unrolled rounds (links are seldom, so few hosts meet)."""
+    host = "translate(regexp_extract({0}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    own = ["select *, case"]
+    for kind in ("rule", "own"):
+        for verdict, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2])):
+            own.append(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h + p if kind == 'rule' else verdict}'")
+        own.append(f"end as {kind}" + (", case" if kind == "rule" else " from p"))
+    parts = [
+        "t as (select page_id, html, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as tail from pages)",
+        f"p as (select page_id, html, {host.format('tail')} as host, regexp_extract(substr(tail, 1 + length(regexp_extract(tail, '^[^/?#]*'))), '^[^?#]*') as path from t)",
+        "r as (" + " ".join(own) + ")",
+        r"""l as (select host as src, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*[\"'']\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'']*)', 1)) as link from p)""",
+        f"e as (select src, dst, count(*) as w from (select src, {host.format('substr(link, strpos(link, chr(47) || chr(47)) + 2)')} as dst from l) where src <> dst and src <> '' and dst <> '' group by all)",
+    ]
+    for kind, a, b in (("allow", "src", "dst"), ("block", "dst", "src")):
+        parts.append(f"{kind}_s as (select host, 0.15 * count(*) / (select count(*) from r where own = '{kind}' and host <> '') as s from r where own = '{kind}' and host <> '' group by host)")
+        parts.append(f"{kind}_e as (select {a} as src, {b} as dst, 0.85 * w / sum(w) over (partition by {a}) as w from e)")
+        parts.append(f"{kind}_0 as materialized (select * from {kind}_s)")
+        for k in range(rounds):
+            parts.append(f"{kind}_{k + 1} as materialized (select host, sum(s) as s from (select * from {kind}_s union all select dst, s * w from {kind}_{k} join {kind}_e on host = src) group by host)")
+    parts.append(f"bad as (select host from allow_{rounds} x full join block_{rounds} y using (host) where coalesce(y.s, 0) > 0.5 * (coalesce(x.s, 0) + coalesce(y.s, 0)))")
+    return "with " + ", ".join(parts) + " select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule, coalesce(own, case when host in (select host from bad) then 'block' else 'allow' end) as verdict from r"
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removals(_t(spark, sf_dir, "documents"))
 
@@ -71,8 +108,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op6_topk": op6_topk, "op7_decontamination": op7_decontamination, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op6_topk": op6_topk, "op7_decontamination": op7_decontamination, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6_SQL}
+    return {"op6_topk": OP6_SQL, "op8_url_filter": _op8_sql()}
