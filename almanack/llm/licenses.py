@@ -3,7 +3,7 @@
 A line that has a license word opens candidate blocks: the line itself, and, for longer templates, the text from it on as far as the template
 could reach. Each block is compressed alone and with each template as zstandard raw dictionary; templates are ranked by the share of bytes saved. Down
 the ranking, a template is confirmed by wording: block and template are aligned word by word, and the words that differ must stay within
-`differ` of the template's words (none for a short notice, so a version or a letter more makes another license).
+`differ` of the template's words (none at all for a short notice).
 
 Cases: null and empty texts have no block; repeated lines and rows are scanned each for itself (a task remembers blocks that it has judged, up to a bound);
 equal savings rank by license name; very long lines are blocks like others, cut at no length; an empty table gives no rows; only doc_id and text
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words of lines that are looked at (Java and Python pattern alike).
-WORD = r"(?i)licen[sc]|copyright|permission|warrant|redistribut|public domain|all rights reserved|\bCC[ -](?:BY|0)|\bGPL|\bSPDX"
+WORD = r"(?i)licen[sc]|copyright|permission|warrant|redistribut|public domain|all rights reserved|\bCC(?:0|[ -](?:BY|0))|\bGPL|\bSPDX"
 
 #: License notices, one or more to an SPDX name.
 TEMPLATES: list[tuple[str, str]] = [
@@ -45,6 +45,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 _REMEMBERED = 50_000
+#: Templates of fewer words are notices, whose wording must be exact: one word more or less, or another version, makes another license.
+_LONG = 30
 
 
 def words(text: str) -> list[str]:
@@ -59,13 +61,13 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.items = []
         for name, text in sorted(templates):
-            d = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.items.append((name, text, words(text), zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
         self.known: dict[str, list] = {}
 
     def ranked(self, block: str) -> list[tuple[float, str, int]]:
         """(share of bytes saved, name, template number), the greatest first."""
-        raw = block.encode("utf-8", "surrogatepass")
+        raw = block.lower().encode("utf-8", "surrogatepass")
         own = len(self.alone.compress(raw))
         return sorted(((round(1 - len(c.compress(raw)) / own, 6), name, i) for i, (name, _, _, c) in enumerate(self.items)), key=lambda x: (-x[0], x[1], x[2]))
 
@@ -89,7 +91,7 @@ class Scanner:
                 return None
             if fits(i):
                 d = self.difference(block, i)
-                if d <= int(self.differ * len(self.items[i][2])):
+                if d <= (int(self.differ * n) if (n := len(self.items[i][2])) >= _LONG else 0):
                     return name, saved, d
         return None
 
