@@ -87,7 +87,7 @@ def is_city_name(text: Column) -> Column:
 
 def locality(address: Column, venue: Column) -> Column:
     """The last part of an address that is neither a city nor the venue; '' if there is none."""
-    parts = F.filter(F.transform(F.split(F.coalesce(address, F.lit("")), ","), F.trim), lambda p: (p != "") & ~is_city_name(p) & (F.lower(p) != F.lower(venue)) & ~p.rlike(r"(?i)^(?:india|\d{6}|maharashtra|karnataka|gujarat|tamil nadu|west bengal|haryana|uttar pradesh)$"))
+    parts = F.filter(F.transform(F.split(F.coalesce(address, F.lit("")), ","), lambda p: F.trim(p)), lambda p: (p != "") & ~is_city_name(p) & (F.lower(p) != F.lower(venue)) & ~p.rlike(r"(?i)^(?:india|\d{6}|maharashtra|karnataka|gujarat|tamil nadu|west bengal|haryana|uttar pradesh)$"))
     return F.coalesce(F.get(parts, F.size(parts) - 1), F.lit(""))
 
 

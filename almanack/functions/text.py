@@ -96,9 +96,9 @@ def one_line(c: Column, most: int = 140, plain: bool = True) -> Column:
 def first_sentences(c: Column, most: int = 200) -> Column:
     """Whole sentences up to `most` characters."""
     c = clean_text(c)
-    grown = F.aggregate(sentences(c), F.struct(F.lit("").alias("t"), F.lit(False).alias("over")), lambda a, s: F.struct(
-        F.when(a.over | (F.length(F.trim(F.concat_ws(" ", a.t, s))) > most), a.t).otherwise(F.trim(F.concat_ws(" ", a.t, s))).alias("t"),
-        (a.over | (F.length(F.trim(F.concat_ws(" ", a.t, s))) > most)).alias("over")), lambda a: a.t)
+    grown = F.aggregate(sentences(c), F.struct(F.lit("").alias("t"), F.lit(False).alias("done")), lambda a, s: F.struct(
+        F.when(a.done | (F.length(F.trim(F.concat_ws(" ", a.t, s))) > most), a.t).otherwise(F.trim(F.concat_ws(" ", a.t, s))).alias("t"),
+        (a.done | (F.length(F.trim(F.concat_ws(" ", a.t, s))) > most)).alias("done")), lambda a: a.t)
     return F.when(F.length(c) <= most, c).when(grown != "", grown).otherwise(shortened(c, most))
 
 
@@ -149,5 +149,5 @@ def tag_words(c: Column) -> Column:
 
 
 def languages(c: Column) -> Column:
-    parts = F.filter(F.transform(F.split(text_of(c), r"[|,/]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text_of(c), r"[|,/]"), lambda p: F.trim(p)), lambda p: p != "")
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), ", ")

@@ -76,7 +76,7 @@ def labelled_facts(lines: DataFrame) -> DataFrame:
 
 def pipe_facts(lines: DataFrame) -> DataFrame:
     """(page, facts): the first line of two to six tokens between pipes of which one is a language, an age or a duration."""
-    tokens = F.transform(F.split("line", r"\|"), F.trim)
+    tokens = F.transform(F.split("line", r"\|"), lambda p: F.trim(p))
     hit = F.exists(tokens, lambda t: t.rlike(r"(?i)^(?:english|hindi|marathi|tamil|kannada|bengali|gujarati|telugu|malayalam|punjabi)$|^\d{1,2}\s?\+|^\d+\s?(?:hrs?|hours?|mins?|minutes?)\b"))
     good = lines.where(F.contains("line", F.lit("|"))).withColumn("facts", tokens).where(F.size("facts").between(2, 6) & hit)
     return good.groupBy("page").agg(F.min_by("facts", "pos").alias("facts"))
