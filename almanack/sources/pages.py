@@ -185,3 +185,53 @@ def projected(events: DataFrame) -> DataFrame:
         ((F.size(offers) > 0) & F.forall(offers, lambda o: F.coalesce(o.availability.rlike("SoldOut"), F.lit(False)))).alias("sold_out"),
     )
     return out.select("*", "p.*").drop("p")
+
+
+RSC_PUSH = r"(?s)self\.__next_f\.push\(\[1,\s*(\"(?:[^\"\\]|\\.)*\")\]\)"
+
+
+def rsc_blocks(pages: DataFrame, page: str = "url") -> DataFrame:
+    """(page, kind rsc, pos, json): rows of a streamed payload, whose pushed string chunks are joined and split at `id:` lines that carry an object or a list."""
+    chunks = F.transform(F.regexp_extract_all("html", F.lit(RSC_PUSH), F.lit(1)), lambda c: F.get_json_object(F.concat(F.lit("["), c, F.lit("]")), "$[0]"))
+    lines = F.transform(F.split(F.array_join(chunks, ""), "\n"), lambda x: F.regexp_extract(x, r"(?s)^[0-9a-f]+:([\[{].*)$", 1))
+    rows = pages.select(F.col(page).alias("page"), F.lit("rsc").alias("kind"), F.posexplode(F.filter(lines, lambda x: x != "")).alias("pos", "json"))
+    return rows
+
+
+def cards(pages: DataFrame, event: str, page: str = "url", most_lines: int = 12, most_chars: int = 700) -> DataFrame:
+    """(page, url, title, date_text, price_text, venue, lines): a card for each event address: the text from its first link on up to the next event's link. The title is the
+    link's own text, or the longest of the first three lines; date and price are the first lines that read so, the venue the line after the date."""
+    parts = F.posexplode(F.split("html", r"(?i)(?=<a\b)")).alias("pos", "part")
+    rows = pages.select(F.col(page).alias("page"), parts).withColumn("href", F.regexp_extract("part", ANCHOR, 1))
+    rows = rows.withColumn("url", F.when(F.col("href") != "", urls.canonical_url(urls.absolute_url(F.col("page"), F.col("href")))))
+    rows = rows.withColumn("url", F.when(F.col("url").rlike(event), F.col("url")))
+    rows = rows.withColumn("url", F.last("url", ignorenulls=True).over(Window.partitionBy("page").orderBy("pos"))).where("url is not null")
+    whole = rows.groupBy("page", "url").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x.part), " ").alias("part"), F.min("pos").alias("pos"))
+    lines = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(F.substring("part", 1, 20_000), SILENT, " "), BLOCK + r"|</?a\b[^>]*>", "\n"), "\n"), inner_text), lambda x: x != "")
+    out = whole.withColumn("lines", F.slice(lines, 1, most_lines))
+    out = out.withColumn("lines", F.aggregate("lines", F.array().cast("array<string>"), lambda a, x: F.when(F.length(F.array_join(a, " ")) + F.length(x) <= most_chars, F.concat(a, F.array(x))).otherwise(a)))
+    first = lambda rx: F.get(F.filter("lines", lambda x: x.rlike(rx)), F.lit(0))
+    date_text = first(r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b|\b\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\b|\b(?:today|tomorrow)\b")
+    price_text = first(r"(?i)₹|\brs\.?\s*\d|^free\b")
+    head = F.slice("lines", 1, 3)
+    longest = F.reduce(head, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    own = inner_text(F.regexp_extract("part", ANCHOR, 2))
+    said = (F.length(own) >= 2) & ~own.rlike(r"(?i)^(?:book(?: now| tickets?)?|buy(?: now)?|details|view|more)$")
+    out = out.withColumns({"date_text": F.coalesce(date_text, F.lit("")), "price_text": F.coalesce(price_text, F.lit("")), "title": F.when(said, own).otherwise(longest)})
+    after = F.get("lines", F.array_position("lines", F.col("date_text")).cast("int"))
+    venue = F.when((F.col("date_text") != "") & (after != F.col("price_text")), after)
+    return out.select("page", "url", "title", "date_text", "price_text", F.coalesce(venue, F.lit("")).alias("venue"), "lines")
+
+
+def microdata(pages: DataFrame, page: str = "url") -> DataFrame:
+    """(page, pos, title, start_text, end_text, url, venue, price_text): items of an Event type that name themselves and a start; the first value of a property counts."""
+    parts = F.posexplode(F.filter(F.split("html", r"(?i)(?=<[a-z]+\b[^>]*\bitemtype\s*=\s*[\"'][^\"']*schema\.org/[A-Za-z]*(?:Event|Festival)[\"'])"), lambda x: x.rlike(r"(?i)^<[a-z]+\b[^>]*\bitemtype\s*=\s*[\"'][^\"']*schema\.org/[A-Za-z]*(?:Event|Festival)[\"']"))).alias("pos", "part")
+    rows = pages.select(F.col(page).alias("page"), parts)
+
+    def prop(name: str) -> Column:
+        tag = rf"(?is)<[a-z0-9]+\b[^>]*\bitemprop\s*=\s*[\"']{name}[\"'][^>]*>"
+        value = F.regexp_extract(F.regexp_extract("part", tag, 0), r"(?is)\b(?:content|datetime|href)\s*=\s*[\"']([^\"']*)[\"']", 1)
+        return F.when(value != "", clean_text(value)).otherwise(inner_text(F.regexp_extract("part", tag + r"(.*?)</", 1)))
+
+    out = rows.select("page", "pos", prop("name").alias("title"), prop("startDate").alias("start_text"), prop("endDate").alias("end_text"), prop("url").alias("url"), prop("location").alias("venue"), prop("price").alias("price_text"))
+    return out.where("title != '' and start_text != ''")

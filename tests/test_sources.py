@@ -52,3 +52,15 @@ def test_profiles(spark):
     out = profiles.frontier(start, links, {"mine": r"\?p=\d+"}).orderBy("depth").collect()
     assert [(x.url[-4:], x.depth) for x in out] == [("pune", 0), ("?p=2", 1), ("?p=3", 2)]
     assert profiles.frontier(start, links, {"mine": r"\?p=\d+"}, budget=2).count() == 2
+
+
+def test_rsc_cards_and_microdata(spark):
+    html = r"""<script>self.__next_f.push([1,"3:{\"event\":{\"name\":\"Streamed Gig\",\"type\":\"event\",\"startDate\":\"2026-"])</script><script>self.__next_f.push([1,"10-12\",\"url\":\"/e\"}}\n4:\"x\"\n"])</script>
+<div><a href="/events/one/111111"><img></a><h3>The First Show of All</h3><p>Sat, 10 Oct</p><p>Hall One</p><p>₹ 300 onwards</p></div><div><a href="/about">x</a></div><div><a href="/events/two/222222">Second</a><p>Free</p></div>
+<div itemscope itemtype="https://schema.org/MusicEvent"><span itemprop="name">Micro <b>Night</b></span><meta itemprop="startDate" content="2026-10-13"><a itemprop="url" href="https://x.test/m">m</a></div><div itemscope itemtype="http://schema.org/Event"><i itemprop="name">No date</i></div>"""
+    pages = page(spark, html)
+    assert [x.title for x in P.projected(P.events_in_json(P.rsc_blocks(pages))).collect()] == ["Streamed Gig"]
+    found = {x.url[-6:]: x for x in P.cards(pages, r"/events/[\w-]+/\d{6}").collect()}
+    assert (found["111111"].title, found["111111"].date_text, found["111111"].venue, found["111111"].price_text) == ("The First Show of All", "Sat, 10 Oct", "Hall One", "₹ 300 onwards")
+    assert (found["222222"].title, found["222222"].price_text) == ("Second", "Free")
+    assert [(x.title, x.start_text, x.url) for x in P.microdata(pages).collect()] == [("Micro Night", "2026-10-13", "https://x.test/m")]
