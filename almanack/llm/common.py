@@ -36,10 +36,25 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[str] | None = None
+
+
+def new_scratch(spark: SparkSession, last: bool = False) -> None:
+    """Delete the tables written since the last call, and keep count of those written from now on. For a chain of steps that each write their result before the
+    next one starts: what an earlier step wrote on its way is then of no use. With last the count ends. Without a call nothing is ever deleted."""
+    global _scratch
+    for path in _scratch or ():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _scratch = None if last else []
+
+
+def written(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, so a lost executor costs one task's rework."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if scratch and _scratch is not None:
+        _scratch.append(path)
     was = {k: spark.conf.get(k, None) for k in _STEP}
     for k, v in _STEP.items():
         spark.conf.set(k, v)
