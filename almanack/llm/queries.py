@@ -107,9 +107,58 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.JaccardJoin(_t(spark, sf_dir, "documents")).members()
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "select rid, doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as pos, len(ws) as n from d"
+
+
+def _run(size: int) -> str:
+    return f"string_agg(w, ' ') over (partition by rid order by pos rows between current row and {size - 1} following)"
+
+
+OP7_SQL = rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select row_number() over () as rid, item_id as doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+bw as (select rid, doc_id as item, least(n, 13) as k, {_run(13)} as x, pos, n from (select rid, doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as pos, len(ws) as n from b) y),
+items as (select distinct item, k, x from bw where pos <= n - k + 1),
+w as ({_WORDS}),
+win as (select rid, pos, 13 as k, {_run(13)} as x, n from w union all
+  select rid, unnest(range(1, len(ws) - k + 2)) as pos, k, null as x, len(ws) as n from d, (select distinct k from items where k < 13) s where len(ws) >= k),
+found as (select win.rid, win.pos, win.k, items.item from win join d on d.rid = win.rid and win.pos <= win.n - win.k + 1
+  join items on items.k = win.k and items.x = coalesce(win.x, array_to_string(ws[win.pos:win.pos + win.k - 1], ' '))),
+hit as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(pos, pos + k)) as p from found) h group by rid),
+ids as (select rid, count(*) as n_items, string_agg(i, ',' order by i) as i from (select distinct rid, cast(item as varchar) as i from found where item is not null) f group by rid)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(i, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(ws) as contaminated
+from d left join hit using (rid) left join ids using (rid)
+"""
+
+OP9_SQL = rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as ({_WORDS}),
+win as (select rid, pos, case when pos <= n - 34 then {_run(35)} end as x from w),
+again as (select x from win where x is not null group by x having count(*) > 1),
+flagged as (select w.rid, w.pos, w.w, max(case when again.x is not null then 1 else 0 end) over (partition by w.rid order by w.pos rows between 34 preceding and current row) as gone
+  from w join win on win.rid = w.rid and win.pos = w.pos left join again on again.x = win.x),
+kept as (select rid, sum(gone) as n_removed, string_agg(w, ' ' order by pos) filter (where gone = 0) as k from flagged group by rid)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256 from d left join kept using (rid)
+"""
+
+OP10_SQL = rf"""
+with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') as ws from documents),
+w as ({_WORDS}),
+s as (select distinct rid, x from (select rid, {_run(5)} as x, pos, n from w) y where pos <= greatest(n - 4, 1)),
+size as (select rid, count(*) as n from s group by rid),
+p as (select a.rid as a, b.rid as b, count(*) as c from s a join s b on a.x = b.x and a.rid < b.rid group by 1, 2),
+l as (select a, b from p join size x on x.rid = a join size y on y.rid = b where 100 * c >= 80 * (x.n + y.n - c)),
+sides as (select a, b from l union all select b, a from l),
+reach as (select rid as a, rid as b from d union select r.a, e.b from reach r join sides e on r.b = e.a),
+low as (select r.a as rid, min(d.doc_id) as low from reach r join d on d.rid = r.b group by r.a)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, low as component_id from d left join size using (rid) join low using (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op6_topk": op6_topk, "op7_decontamination": op7_decontamination, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6_SQL, "op8_url_filter": _op8_sql()}
+    return {"op6_topk": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_url_filter": _op8_sql(), "op9_substring_dedup": OP9_SQL, "op10_jaccard_join": OP10_SQL}
