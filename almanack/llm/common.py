@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 18
 #: Text keys that a task remembers, to pass over further copies of a text before a shuffle.
 SEEN = 200_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: While a step is written: its shuffle files go as soon as its table is there, and whole texts reach Python in small batches.
-_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", _BATCH: "1000"}
 _LONG_WORD = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -41,8 +42,10 @@ _scratch: list[str] | None = None
 
 def new_scratch(spark: SparkSession, last: bool = False) -> None:
     """Delete the tables written since the last call, and keep count of those written from now on. For a chain of steps that each write their result before the
-    next one starts: what an earlier step wrote on its way is then of no use. With last the count ends. Without a call nothing is ever deleted."""
+    next one starts: what an earlier step wrote on its way is then of no use. With last the count ends. Without a call nothing is ever deleted. It also makes the session's Arrow batches small, since the caller runs each
+    step's last stage on whole rows."""
     global _scratch
+    spark.conf.set(_BATCH, _STEP[_BATCH])
     for path in _scratch or ():
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
