@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
-A line that has a license word opens candidate blocks: the line itself, and, for longer templates, the text from it on as far as the template
-could reach. Each block is compressed alone and with each template as zstandard raw dictionary; templates are ranked by the share of bytes saved. Down
-the ranking, a template is confirmed by wording: block and template are aligned word by word, and the words that differ must stay within
-`differ` of the template's words (none at all for a short notice).
+A line that has a license word opens candidate blocks: the line itself, and, around each license word that no exact notice holds yet, the text
+before and after it as far as a template could reach, over line ends. Each block is compressed alone and with templates as zstandard raw dictionary; templates
+are ranked by the share of bytes saved. Down the ranking, a template is confirmed by wording: block and template are aligned word by word, and the words that differ
+must stay within `differ` of the template's words (none at all for a short notice). Around a license word only templates whose words are there are compressed.
 
 Cases: null and empty texts have no block; repeated lines and rows are scanned each for itself (a task remembers blocks that it has judged, up to a bound);
 equal savings rank by license name; very long lines are blocks like others, cut at no length; an empty table gives no rows; only doc_id and text
@@ -13,6 +13,8 @@ are read. Texts without a license word never leave the JVM.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: What may stand between the words of one license word: blanks, line ends and signs of comments.
+_GAP = r"[ \t\r\n*#/;%>!|-]+"
 #: Words of lines that are looked at (Java and Python pattern alike).
-WORD = r"(?i)licen[sc]|copyright|permission|warrant|redistribut|public domain|all rights reserved|\bCC(?:0|[ -](?:BY|0))|\bGPL|\bSPDX"
+WORD = rf"(?i)licen[sc]|copyright|permission|warrant|redistribut|public{_GAP}domain|all{_GAP}rights{_GAP}reserved|\bCC(?:0|{_GAP}(?:BY|0))|\bGPL|\bSPDX"
 
 #: License notices, one or more to an SPDX name.
 TEMPLATES: list[tuple[str, str]] = [
@@ -49,8 +53,11 @@ _REMEMBERED = 50_000
 _LONG = 30
 
 
+_WORDS = re.compile(r"[^\W_]+(?:\.\d+)*")
+
+
 def words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:\.\d+)*", text.lower())
+    return [x.lower() for x in _WORDS.findall(text)]
 
 
 class Scanner:
@@ -71,49 +78,98 @@ class Scanner:
         own = len(self.alone.compress(raw))
         return sorted(((round(1 - len(c.compress(raw)) / own, 6), name, i) for i, (name, _, _, c) in enumerate(self.items)), key=lambda x: (-x[0], x[1], x[2]))
 
-    def difference(self, block: str, number: int) -> int:
-        """Words of the template that the block lacks, and words that the block has between those that match. Matches at either end that
-        cost more words in between than they bring are left out, so a notice inside a long line is measured alone."""
-        want, have = self.items[number][2], words(block)
+    def saved(self, block: str, number: int) -> float:
+        raw = block.lower().encode("utf-8", "surrogatepass")
+        return round(1 - len(self.items[number][3].compress(raw)) / len(self.alone.compress(raw)), 6)
+
+    def aligned(self, have: list[str], number: int) -> tuple[int, int, int]:
+        """(words that differ, first and end of the words that match): words of the template that the block lacks, and words that the block has
+        between those that match. Matches at either end that cost more words in between than they bring are left out, so a notice inside a long line is measured alone."""
+        want = self.items[number][2]
         m = [x for x in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if x.size]
         while len(m) > 1 and m[1].a - m[0].a - m[0].size > m[0].size:
             m.pop(0)
         while len(m) > 1 and m[-1].a - m[-2].a - m[-2].size > m[-1].size:
             m.pop()
         if not m:
-            return len(want)
-        same = sum(x.size for x in m)
-        return len(want) - same + (m[-1].a + m[-1].size - m[0].a - same)
+            return len(want), 0, 0
+        same, end = sum(x.size for x in m), m[-1].a + m[-1].size
+        return len(want) - same + (end - m[0].a - same), m[0].a, end
+
+    def may_differ(self, number: int) -> int:
+        n = len(self.items[number][2])
+        return int(self.differ * n) if n >= _LONG else 0
 
-    def judge(self, block: str, fits) -> tuple[str, float, int] | None:
+    def judge(self, block: str) -> tuple[str, float, int, int, int, int] | None:
+        """(license, share saved, words that differ, first and end word, words of the template) of a block alone."""
+        have = words(block)
         for saved, name, i in self.ranked(block):
             if saved <= 0:
                 return None
-            if fits(i):
-                d = self.difference(block, i)
-                if d <= (int(self.differ * n) if (n := len(self.items[i][2])) >= _LONG else 0):
-                    return name, saved, d
+            d, a, b = self.aligned(have, i)
+            if d <= self.may_differ(i):
+                return name, saved, d, a, b, len(self.items[i][2])
         return None
 
+    def around(self, text: str, have: list[str], spans: list[tuple[int, int]], at: int) -> tuple[str, float, int, int, int, int] | None:
+        """The same of the notice around word number `at`, which may begin before it and go on over further lines. A template is laid on the text at each of its words
+        that is the word found; a long one also from its length before to its length after it. Blocks are counted in words, so signs and indents between lines take none."""
+        tries = []
+        for i, (_, _, want, _) in enumerate(self.items):
+            n, more = len(want), self.may_differ(i)
+            starts = [at - p for p, w in enumerate(want) if w == have[at]]
+            if not more:
+                tries += [(i, lo, lo + n) for lo in starts if lo >= 0 and have[lo : lo + n] == want]
+                continue
+            wide = max(0, at - n - more), at + n + more + 1
+            if (Counter(have[slice(*wide)]) & Counter(want)).total() >= n - more:
+                tries += [(i, max(0, lo - more), lo + n + more) for lo in starts] + [(i, *wide)]
+        found = []
+        for i, lo, hi in tries:
+            d, a, b = self.aligned(have[lo:hi], i)
+            if d <= self.may_differ(i) and lo + a <= at < lo + b:
+                block = " ".join(text[spans[lo + a][0] : spans[lo + b - 1][1]].split())
+                found.append((self.items[i][0], self.saved(block, i), d, lo + a, lo + b, len(self.items[i][2])))
+        return min(found, key=lambda x: (-x[1], x[2], x[0]), default=None)
+
     def scan(self, text: str) -> list[tuple[int, str, float, int]]:
-        """(line start, license, share saved, words that differ) of each candidate line that is confirmed, and (start, '', 0, 0) of the others."""
-        out, at, pattern = [], 0, _pattern()
-        for line in text.split("\n"):
-            if pattern.search(line):
-                if (found := self.known.get(line)) is None:
-                    found = self.judge(line, lambda i: True)
-                    if len(self.known) >= _REMEMBERED:
-                        self.known.clear()
-                    self.known[line] = found or ()
-                if not found:  # the wording may go on over further lines
-                    for i, (_, template, _, _) in enumerate(self.items):
-                        if len(template) > len(line):
-                            block = text[at : at + len(template) + len(template) // 5]
-                            if "\n" in block and (found := self.judge(block, lambda j, i=i: j == i)):
-                                break
-                out.append((at, *found) if found else (at, "", 0.0, 0))
-            at += len(line) + 1
-        return out
+        """(line start, license, share saved, words that differ) of each confirmed notice, at the line of its first license word, and (start, '', 0, 0) of the candidate
+        lines that begin none."""
+        lines: dict[int, list[int]] = {}
+        for hit in _pattern().finditer(text):
+            lines.setdefault(text.rfind("\n", 0, hit.start()) + 1, []).append(hit.start())
+        if not lines:
+            return []
+        spans = [x.span() for x in _WORDS.finditer(text)]
+        firsts, have = [a for a, _ in spans], [text[a:b].lower() for a, b in spans]
+        sure: list[list] = []  # start, license, saved, words that differ, first and end word, words of the template
+        for start, hits in lines.items():
+            end = text.find("\n", start)
+            line = text[start : end if end >= 0 else len(text)]
+            if (alone := self.known.get(line)) is None:
+                alone = self.judge(line) or ()
+                if len(self.known) >= _REMEMBERED:
+                    self.known.clear()
+                self.known[line] = alone
+            if alone:
+                k = bisect_left(firsts, start)
+                _add(sure, [start, *alone[:3], alone[3] + k, alone[4] + k, alone[5]])
+            for hit in hits:
+                at = bisect_right(firsts, hit) - 1
+                if at >= 0 and not any(x[4] <= at < x[5] and not x[3] for x in sure[-2:]) and (found := self.around(text, have, spans, at)):
+                    _add(sure, [start, *found])
+        taken = {x[0] for x in sure}
+        return sorted([tuple(x[:4]) for x in sure] + [(start, "", 0.0, 0) for start in lines if start not in taken], key=lambda x: x[0])
+
+
+def _add(sure: list[list], new: list) -> None:
+    """new as one more notice; of notices that share words the one of the longest template, then of the fewest differing words, stays, at the first one's line."""
+    shared = [x for x in sure[-2:] if x[4] < new[5] and new[4] < x[5]]
+    best = max([*shared, new], key=lambda x: (x[6], -x[3]))
+    if shared:
+        sure[:] = [x for x in sure if not any(x is y for y in shared)]
+        best = [min(x[0] for x in [*shared, new]), *best[1:]]
+    sure.append(best)
 
 
 def _pattern() -> re.Pattern:
@@ -121,7 +177,7 @@ def _pattern() -> re.Pattern:
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, differ: float = 0.1, spans: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_candidates (lines with a license word), n_confirmed, licenses (confirmed names, sorted, comma-joined), license (that of
+    """One row per document: doc_id, n_candidates (lines with a license word), n_confirmed (notices), licenses (confirmed names, sorted, comma-joined), license (that of
     the greatest saving, the first on ties; null if none), saved (its share of bytes) and n_differ (its differing words); with spans the candidates
     themselves. One pass, no shuffle."""
     templates = TEMPLATES if templates is None else templates
@@ -138,7 +194,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, differ
                 found = scanner.scan(text) if text else []
                 sure = [x for x in found if x[1]]
                 best = max(sure, key=lambda x: (x[2], -x[0]), default=None)
-                rows.append((len(found), len(sure), ",".join(sorted({x[1] for x in sure})), best and best[1], best and best[2], best and best[3]) + (([dict(zip(("start", "license", "saved", "n_differ"), x, strict=True)) for x in found],) if spans else ()))
+                rows.append((len({x[0] for x in found}), len(sure), ",".join(sorted({x[1] for x in sure})), best and best[1], best and best[2], best and best[3]) + (([dict(zip(("start", "license", "saved", "n_differ"), x, strict=True)) for x in found],) if spans else ()))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("license", pa.string()), ("saved", pa.float64()), ("n_differ", pa.int64())]))][: 7 if spans else 6]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[] for _ in kinds], kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[f.name for f in fields])

@@ -27,6 +27,25 @@ def test_long_notice_over_several_lines(spark):
     assert scan(spark, [text])[0].licenses == "MIT"
 
 
+def test_every_template_wrapped_at_each_word(spark):
+    texts, want = [], []
+    for name, t in licenses.TEMPLATES:
+        words = t.split()
+        for i in range(1, len(words)):
+            one, two = " ".join(words[:i]), " ".join(words[i:])
+            texts += [f"{one}\n{two}", f"{'prose ' * 100}{one}\n    # {two} {'prose ' * 100}"]
+            want += [name] * 2
+    got = scan(spark, texts)
+    assert [(texts[i], got[i].licenses, got[i].n_confirmed) for i, name in enumerate(want) if (got[i].licenses, got[i].n_confirmed) != (name, 1)] == []
+
+
+def test_neighbours_stay_apart(spark):
+    got = scan(spark, ["Released under the MIT License.\nno license to speak of", "Released under the MIT License. Licensed under CC\nBY 4.0.", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.1."], spans=True)
+    assert [(got[i].n_candidates, got[i].n_confirmed, got[i].licenses) for i in range(3)] == [(2, 1, "MIT"), (1, 2, "CC-BY-4.0,MIT"), (1, 0, "")]
+    twice = "\n".join(MIT.split()[i] for i in range(len(MIT.split()))) + "\n"
+    assert scan(spark, [twice * 2])[0].n_confirmed == 2
+
+
 def test_odd_rows(spark):
     got = scan(spark, [None, "", "plain", "license " * 5000, "Released under the MIT License.\n" * 3], spans=True)
     assert [(got[i].n_candidates, got[i].license) for i in range(3)] == [(0, None)] * 3
