@@ -226,6 +226,20 @@ def city_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("lid", "city", (place == 1).alias("band"), F.count(F.lit(1)).over(Window.partitionBy("city")).alias("in_city"))
 
 
+@query("select lid, cast(1000 + row_number() over (order by city, start_d, lid) as bigint) as serial from listings")
+def serial_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """serial_continue over every listing."""
+    out = tables.serials(listings(spark, sf_dir), [F.col("city"), F.col("start_d"), F.col("lid")], 1000, groups=F.regexp_extract("city", r"(\d+)$", 1).cast("int"))
+    return out.select("lid", F.col("serial").cast("bigint").alias("serial"))
+
+
+@query("select lid, city, coalesce(city <> lag(city) over (order by city, start_d, lid), true) as band, count(*) over (partition by city) as in_city from listings")
+def city_bands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """city_bands over every listing."""
+    place = F.row_number().over(Window.partitionBy("city").orderBy("start_d", "lid"))
+    return listings(spark, sf_dir).select("lid", "city", (place == 1).alias("band"), F.count(F.lit(1)).over(Window.partitionBy("city")).alias("in_city"))
+
+
 @query("""
 with e as (select user_id, event_id, ts, event_type = 'error' as bad from events),
 g as (select *, sum(case when bad then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as isl from e),
@@ -370,14 +384,23 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "d.start", "d.has_time")
 
 
-@query("select o_orderkey, cast(o_orderdate as timestamp) as start, cast(o_orderdate as timestamp) + interval 3 day as \"end\" from orders where o_orderkey % 50 = 0", over=None)
-def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+def _told_ranges(orders: DataFrame) -> DataFrame:
     told = F.concat_ws(" - ", F.date_format("o_orderdate", "EEE, d MMM yyyy"), F.date_format(F.date_add("o_orderdate", 3), "d MMM yyyy"))
-    rows = rows.select("o_orderkey", dates.date_range(told, dt.date(1996, 1, 1)).alias("d"))
+    rows = orders.select("o_orderkey", dates.date_range(told, dt.date(1996, 1, 1)).alias("d"))
     return rows.select("o_orderkey", "d.start", "d.end")
 
 
+@query("select o_orderkey, cast(o_orderdate as timestamp) as start, cast(o_orderdate as timestamp) + interval 3 day as \"end\" from orders where o_orderkey % 50 = 0", over=None)
+def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told_ranges(table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+
+
+@query("select o_orderkey, cast(o_orderdate as timestamp) as start, cast(o_orderdate as timestamp) + interval 3 day as \"end\" from orders", over=None)
+def date_range_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date_range over every order."""
+    return _told_ranges(table(spark, sf_dir, "orders"))
+
+
 @query(r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as clean, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) as n from documents", over=None)
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = text.squash(F.col("text"))
