@@ -88,6 +88,11 @@ def test_resolve_is_the_sequential_fold(spark):
             assert got == want
 
 
+def test_resolve_in_rounds_is_the_sequential_fold(spark):
+    rows = toy(3)
+    assert {x.ord: x.lead for x in resolve.leads(events(spark, rows), most=0).collect()} == plain_leads(rows)
+
+
 def test_same_show_on_three_platforms(spark):
     base = dict(city="Mumbai", start=DAY, title="Big Jazz Night Trio")
     rows = [base | dict(platform="AllEvents", url="c", organizer="Org", platforms=["AllEvents"]), base | dict(platform="BookMyShow", url="a", platforms=["BookMyShow"]), base | dict(platform="Meetup", url="b", platforms=["Meetup"]), base | dict(platform="Meetup", url="d", city="Pune", platforms=["Meetup"])]
