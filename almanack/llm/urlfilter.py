@@ -47,22 +47,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", dst.alias("dst")).where("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, close: float) -> DataFrame:
-    """(host, s): personalised PageRank, the seeds (host, s) being shares; what reaches a host without links out is not handed back."""
+def propagated(seeds: DataFrame, edges: DataFrame, damping: float, close: float) -> DataFrame:
+    """(host, s): personalised PageRank, the seeds (host, s) being shares; what reaches a host without links out is not handed back. Rounds go on until
+    the scores move by no more than `close`; each moves at most `damping` of what the one before moved."""
     start = written(seeds.select("host", (F.col("s") * (1 - damping)).alias("s")), "rank-seeds")
     out = written(edges.join(edges.groupBy("src").agg(F.sum("w").alias("all")), "src").select("src", "dst", (damping * F.col("w") / F.col("all")).alias("w")), "rank-edges")
     now = start
-    for _ in range(rounds):
+    while True:
         moved = now.join(out, now.host == out.src).select(F.col("dst").alias("host"), (F.col("s") * F.col("w")).alias("s"))
         new = written(start.unionByName(moved).groupBy("host").agg(F.sum("s").alias("s")), "rank")
         gap = new.alias("x").join(now.alias("y"), "host", "full").agg(F.sum(F.abs(F.coalesce("x.s", F.lit(0.0)) - F.coalesce("y.s", F.lit(0.0))))).first()[0] or 0.0
         now = new
         if gap <= close:
-            break
-    return now
+            return now
 
 
-def judged(pages: DataFrame, rules: Rules, threshold: float = 0.5, damping: float = 0.85, rounds: int = 20, close: float = 1e-9, broadcast_rows: int = 250_000) -> DataFrame:
+def judged(pages: DataFrame, rules: Rules, threshold: float = 0.5, damping: float = 0.85, close: float = 1e-9, broadcast_rows: int = 250_000) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     host, path = host_and_path(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -75,9 +75,9 @@ def judged(pages: DataFrame, rules: Rules, threshold: float = 0.5, damping: floa
         own = counts.where(F.col("own") == kind)
         return own.crossJoin(F.broadcast(own.agg(F.sum("n").alias("all")))).select("host", (F.col("n") / F.col("all")).alias("s"))  # one row
 
-    trust = propagated(seeds("allow"), edges, damping, rounds, close).select("host", F.col("s").alias("trust"))
+    trust = propagated(seeds("allow"), edges, damping, close).select("host", F.col("s").alias("trust"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = propagated(seeds("block"), back, damping, rounds, close).select("host", F.col("s").alias("distrust"))
+    distrust = propagated(seeds("block"), back, damping, close).select("host", F.col("s").alias("distrust"))
     share = F.coalesce("distrust", F.lit(0.0)) / (F.coalesce("trust", F.lit(0.0)) + F.coalesce("distrust", F.lit(0.0)))
     bad = written(trust.join(distrust, "host", "full").where(share > threshold).select("host", F.lit(True).alias("bad")), "rank-blocked")
     few = bad.limit(broadcast_rows + 1).count() <= broadcast_rows

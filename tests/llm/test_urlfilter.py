@@ -48,3 +48,9 @@ def test_propagation_against_plain_rounds(spark):
 
 def test_empty(spark):
     assert judged(spark, [])[1] == []
+
+
+def test_a_chain_of_more_than_20_hosts(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(22)], "src string, dst string, w double")
+    got = {x.host: x.s for x in urlfilter.propagated(spark.createDataFrame([("h0", 1.0)], "host string, s double"), edges, damping=0.85, close=1e-9).collect()}
+    assert len(got) == 23 and all(abs(got[f"h{i}"] - 0.15 * 0.85**i) < 1e-12 for i in range(23))
