@@ -4,8 +4,8 @@ A text's vector is the mean of the embeddings of its hashed byte grams (1 to 4 b
 trained together by stochastic gradient descent in numpy, on whole sampled texts and on short spans drawn from them, so that short texts are
 met too. A held-back part of the sample gives the temperature that calibrates the probabilities and the score below which a text is rejected.
 
-The sample is the only bounded thing: at most per_lang rows of each language (the least hashes of the row), and at most max_langs languages, the most
-frequent first. Prediction scores every whole text in one Arrow pass; mean and softmax being linear up to the last step, embeddings and
+The sample is the only bounded thing: at most per_lang rows of each language (the least hashes of the row), fewer of each where there are over
+max_langs languages, so that all of them are learned and the sample stays as large. Prediction scores every whole text in one Arrow pass; mean and softmax being linear up to the last step, embeddings and
 softmax are multiplied out to one weight per bucket and language beforehand, 2**bits * languages numbers, which is what is sent out.
 
 Cases: a text that is null or has no letter is `und` with score 0 and rejected; an empty table gives no rows; with no labelled rows every
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanack.llm import grams
-from almanack.llm.common import NOT_SPACE, steps
+from almanack.llm.common import NOT_SPACE, steps, written
 
 BITS, DIM = 16, 16
 
@@ -51,11 +51,11 @@ class Model:
 def _sample(docs: DataFrame, per_lang: int, max_langs: int) -> DataFrame:
     """(lang, part, seed, text) of the learning rows, at most per_lang of each language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(~held_out()).select("lang", "text", F.xxhash64("doc_id", F.octet_length("text"), "text").alias("seed"))
-    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
-    if not counts:
-        return rows.where(F.lit(False))
-    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.3 * per_lang / n + 8 / n)))))
-    near = rows.where(F.col("lang").isin(*counts)).where((F.pmod("seed", F.lit(1 << 40)) / (1 << 40)) < share[F.col("lang")])  # about 1.3 times the bound
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    n_langs = counts.count()
+    per_lang = per_lang if n_langs <= max_langs else max(8, per_lang * max_langs // n_langs)
+    near = rows.join(F.broadcast(counts) if n_langs <= 250_000 else counts, "lang")
+    near = near.where((F.pmod("seed", F.lit(1 << 40)) / (1 << 40)) < F.least(F.lit(1.0), 1.3 * per_lang / F.col("n") + 8 / F.col("n"))).drop("n")  # about 1.3 times the bound
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("seed", F.lit(1 << 40)), "seed"))
     return near.withColumn("r", rank).where(F.col("r") <= per_lang).drop("r")
 
@@ -95,7 +95,8 @@ def train(docs: DataFrame, per_lang: int = 700, max_langs: int = 200, epochs: in
     order = np.argsort([f"{a}{len(b)}{b[:4]}" for a, b in zip(got["lang"].to_pylist(), got["buckets"].to_pylist(), strict=True)], kind="stable")  # any order of tasks gives one model
     names = got["lang"].to_pylist()
     langs = sorted(set(names))
-    y = np.array([langs.index(x) for x in names])
+    place = {x: i for i, x in enumerate(langs)}
+    y = np.array([place[x] for x in names])
     rows = [(got["buckets"][int(i)].values.to_numpy(), got["counts"][int(i)].values.to_numpy().astype(np.float32)) for i in range(got.num_rows)]
     kinds = got["kind"].to_numpy()
     rng = np.random.default_rng(7)

@@ -74,3 +74,10 @@ def test_dual_descent_separates():
     rows = [np.array([0, 2]), np.array([0, 3]), np.array([1, 2]), np.array([1, 3])]
     w, b = quality.dual_descent(rows, np.ones(4), np.array([1, 1, -1, -1]), 10.0, 100, np.random.default_rng(0))
     assert all(np.sign(w[r].sum() + b) == s for r, s in zip(rows, (1, 1, -1, -1), strict=True))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i * 3 + j, f"{w} {w}{i % 7} {w}", f"l{j}") for i in range(60) for j, w in enumerate(("alpha", "birne", "citron"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language.train(df, per_lang=30, max_langs=2, epochs=1).langs == ["l0", "l1", "l2"]
+    assert language._sample(df, 30, 2).groupBy("lang").count().where("count > 20").count() == 0
