@@ -46,7 +46,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(_t(spark, sf_dir, "embeddings"))
+    return topk.top_k(_t(spark, sf_dir, "embeddings"), every_row=True)
 
 
 OP6_SQL = """

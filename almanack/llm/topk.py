@@ -86,12 +86,12 @@ def _tops(q: np.ndarray, c: np.ndarray, score: np.ndarray, ids: np.ndarray, k: i
     return o[rank < k]
 
 
-def vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, d, v): one whole vector of each vec_id, its components floor(scale * x) as doubles."""
+def vectors(embeddings: DataFrame, scale: int = 256, every_row: bool = False) -> DataFrame:
+    """(vec_id, d, v): one whole vector of each vec_id (the least; with every_row each row's own), its components floor(scale * x) as doubles."""
     x = F.transform("embedding", lambda e: F.floor(e.cast("double") * F.lit(float(scale))).cast("double"))
     fit = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     rows = embeddings.where((F.size("embedding") > 0) & F.col("vec_id").isNotNull()).where(fit).select("vec_id", F.size("embedding").alias("d"), x.alias("v"))
-    return rows.groupBy("vec_id").agg(F.min(F.struct("d", "v")).alias("x")).select("vec_id", "x.d", "x.v")
+    return rows if every_row else rows.groupBy("vec_id").agg(F.min(F.struct("d", "v")).alias("x")).select("vec_id", "x.d", "x.v")
 
 
 def _rotation(of: DataFrame, d: int) -> np.ndarray:
@@ -114,11 +114,11 @@ def _rotation(of: DataFrame, d: int) -> np.ndarray:
     return np.linalg.eigh(g / scale)[1][:, ::-1].copy()
 
 
-def top_k(embeddings: DataFrame, query_every: int = 50, k: int = 5, scale: int = 256, query_block: int = 4096, block: int = 512, seed_rows: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score for the queries vec_id % query_every == 0."""
+def top_k(embeddings: DataFrame, query_every: int = 50, k: int = 5, scale: int = 256, query_block: int = 4096, block: int = 512, seed_rows: int = 4096, every_row: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score for the queries vec_id % query_every == 0. every_row: rows that repeat a vec_id stay, each a candidate and a query of its id."""
     spark = embeddings.sparkSession
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    rows = written(vectors(embeddings, scale).repartitionByRange(length.desc()).sortWithinPartitions(length.desc(), "vec_id"), "topk-vectors")
+    rows = written(vectors(embeddings, scale, every_row).repartitionByRange(length.desc()).sortWithinPartitions(length.desc(), "vec_id"), "topk-vectors")
     out = None
     for (d,) in rows.select("d").distinct().orderBy("d").collect():
         own = rows.where(F.col("d") == d)

@@ -37,3 +37,14 @@ def test_few_and_none(spark):
     run(spark, [(0, [1.0, 1.0]), (1, [2.0, 0.0])])
     run(spark, [(i, [0.0, 0.0]) for i in range(12)])
     run(spark, [(i, [1e6 + i, -1e6]) for i in range(12)], k=3)
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(i % 12, [float(i % 5), float(i % 3) - 1]) for i in range(30)] + [(3, [2.0, 2.0])] * 2
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = sorted(tuple(x) for x in topk.top_k(df, 5, 4, every_row=True).collect())
+    want = []
+    for q in (0, 5, 10):
+        best = sorted((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(x, y, strict=True)), c) for i, x in rows if i == q for c, y in rows if c != q)[:4]
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert got == want
