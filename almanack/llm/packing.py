@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_encoders: dict[str, Callable[[str], list[int]]] = {}
+_encoders: dict[tuple[str, bool], Callable[[str], list[int]]] = {}
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -30,17 +30,18 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in same} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """text -> ids of the tokenizer file at `path`, no special tokens added, their strings in a text taken as ordinary text.
+def encoder(path: str, special: bool = False) -> Callable[[str], list[int]]:
+    """text -> ids of the tokenizer file at `path`, no special tokens added; their strings in a text are ordinary text, or with `special` their ids, as the file has it.
 
     A byte-level BPE file whose ids follow its merge order runs on tiktoken's engine with the ranks of that file, about four times
     as fast; texts with characters that the two libraries' Unicode tables might class differently, and any other file, run on `tokenizers`.
     """
-    if path not in _encoders:
+    key = path, special
+    if key not in _encoders:
         from tokenizers import Tokenizer
 
         plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = True
+        plain.encode_special_tokens = not special
         slow = lambda text: plain.encode(text, add_special_tokens=False).ids
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -54,14 +55,15 @@ def encoder(path: str) -> Callable[[str], list[int]]:
             import tiktoken
 
             alphabet = _byte_alphabet()
-            special = {x["content"] for x in spec["added_tokens"]}
-            ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in special}
+            added = {x["content"] for x in spec["added_tokens"]}
+            ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in added}
             fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             unusual = regex.compile(r"[^\x00-ͯΑ-ωА-я‐-›€ぁ-ん一-龥]")
-            _encoders[path] = lambda text: slow(text) if not text.isascii() and unusual.search(text) else fast.encode_ordinary(text)
+            told = added if special else ()
+            _encoders[key] = lambda text: slow(text) if any(x in text for x in told) or not text.isascii() and unusual.search(text) else fast.encode_ordinary(text)
         else:
-            _encoders[path] = slow
-    return _encoders[path]
+            _encoders[key] = slow
+    return _encoders[key]
 
 
 def pieces(n: int, max_len: int) -> Iterator[tuple[int, int]]:
@@ -78,7 +80,7 @@ def pieces(n: int, max_len: int) -> Iterator[tuple[int, int]]:
         rest -= length
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 1024, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 1024, end_id: int = 0, with_ids: bool = True, special: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (0: a sequence is one piece), bucket
     (the length), and with with_ids its ids. sequence_id orders by bucket first, so a range of it is one bucket.
 
@@ -90,7 +92,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 1024, end_id: int
     fields += [("ids", "array<int>")] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, made = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encode, part, made = encoder(tokenizer_path, special), TaskContext.get().partitionId(), 0
         for batch in batches:
             rows, start, length, crc, total, seq, ids = [], [], [], [], [], [], []
 

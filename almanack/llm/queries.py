@@ -37,7 +37,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_t(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return packing.pack(_t(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, special=True)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,11 @@ def test_round_trip(spark):
     assert packing.pack(df.limit(0), tokenizer_path(), with_ids=False).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, tokenizer_path(), max_len=1000)
+
+
+def test_special_strings_as_the_file_has_them():
+    from tokenizers import Tokenizer
+
+    own, fast = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path(), special=True)
+    for t in [x or "" for x in TEXTS] + ["<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "<|endoftext"]:
+        assert fast(t) == own.encode(t, add_special_tokens=False).ids
