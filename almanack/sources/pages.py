@@ -207,7 +207,7 @@ def cards(pages: DataFrame, event: str, page: str = "url", most_lines: int = 12,
     rows = rows.withColumn("url", F.when(F.col("url").rlike(event), F.col("url")))
     rows = rows.withColumn("url", F.last("url", ignorenulls=True).over(Window.partitionBy("page").orderBy("pos"))).where("url is not null")
     whole = rows.groupBy("page", "url").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x.part), " ").alias("part"), F.min("pos").alias("pos"))
-    lines = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(F.substring("part", 1, 20_000), SILENT, " "), BLOCK + r"|</?a\b[^>]*>", "\n"), "\n"), inner_text), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace("part", SILENT, " "), BLOCK + r"|</?a\b[^>]*>", "\n"), "\n"), inner_text), lambda x: x != "")
     out = whole.withColumn("lines", F.slice(lines, 1, most_lines))
     out = out.withColumn("lines", F.aggregate("lines", F.array().cast("array<string>"), lambda a, x: F.when(F.length(F.array_join(a, " ")) + F.length(x) <= most_chars, F.concat(a, F.array(x))).otherwise(a)))
     first = lambda rx: F.get(F.filter("lines", lambda x: x.rlike(rx)), F.lit(0))

@@ -64,3 +64,9 @@ def test_rsc_cards_and_microdata(spark):
     assert (found["111111"].title, found["111111"].date_text, found["111111"].venue, found["111111"].price_text) == ("The First Show of All", "Sat, 10 Oct", "Hall One", "₹ 300 onwards")
     assert (found["222222"].title, found["222222"].price_text) == ("Second", "Free")
     assert [(x.title, x.start_text, x.url) for x in P.microdata(pages).collect()] == [("Micro Night", "2026-10-13", "https://x.test/m")]
+
+
+def test_card_after_a_long_script(spark):
+    html = f"<div><a href='/events/one/111111'>First Show</a><script>{'var x = 1; ' * 3000}</script><p>Sat, 10 Oct</p><p>Hall One</p><p>₹ 300 onwards</p></div>"
+    x = P.cards(page(spark, html), r"/events/[\w-]+/\d{6}").first()
+    assert (x.date_text, x.venue, x.price_text, x.lines) == ("Sat, 10 Oct", "Hall One", "₹ 300 onwards", ["First Show", "Sat, 10 Oct", "Hall One", "₹ 300 onwards"])
