@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,35 +30,54 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one on a single machine (tests), and an error on a cluster, whose
+    executors would each write to their own disk."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not (master := spark.conf.get("spark.master", "")).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = tempfile.mkdtemp(prefix="almanack-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
 
 
-_scratch: list[str] | None = None
+#: The tables that the running chain of steps wrote on its way; each thread has its own.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that `written` made."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def new_scratch(spark: SparkSession, last: bool = False) -> None:
     """Delete the tables written since the last call, and keep count of those written from now on. For a chain of steps that each write their result before the
-    next one starts: what an earlier step wrote on its way is then of no use. With last the count ends. Without a call nothing is ever deleted. It also makes the session's Arrow batches small, since the caller runs each
+    next one starts: what an earlier step wrote on its way is then of no use. With last the count ends. Without a call nothing is ever deleted: a query's result is
+    read from such tables, so only its caller knows when they may go. It also makes the session's Arrow batches small, since the caller runs each
     step's last stage on whole rows."""
-    global _scratch
     spark.conf.set(_BATCH, _STEP[_BATCH])
-    for path in _scratch or ():
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _scratch = None if last else []
+    dropped(spark, *(_scratch.get() or ()))
+    _scratch.set(None if last else [])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def written(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, so a lost executor costs one task's rework."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if scratch and _scratch is not None:
-        _scratch.append(path)
+    if scratch and (own := _scratch.get()) is not None:
+        own.append(path)
     was = {k: spark.conf.get(k, None) for k in _STEP}
     for k, v in _STEP.items():
         spark.conf.set(k, v)
