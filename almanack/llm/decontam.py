@@ -1,8 +1,8 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Benchmark texts and documents are normalised alike: A-Z lower-cased, words are runs of 0-9, a-z and non-ASCII characters, one space
-between words. Every 13 consecutive words of an item (all of a shorter item) are a key of one automaton; a document is scanned once,
-and each occurrence is mapped back to word numbers and, on demand, to character offsets of the original text.
+Benchmark texts and documents are normalised alike: A-Z lower-cased, words are runs of 0-9, a-z and non-ASCII characters. Every 13 consecutive
+words of an item (all of a shorter item) are a key of one automaton, whose symbols are words and not characters, so it has a sixth of the nodes; a document is
+scanned once, and each occurrence is mapped back to word numbers and, on demand, to character offsets of the original text.
 
 Cases: null and empty texts have no words and are clean; items without words give no window; equal windows of several items count for
 each; an item that has a null item_id marks words but is not listed; an empty benchmark or document table gives clean or no rows;
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -26,48 +27,42 @@ from almanack.llm.common import Texts, byte_table, written
 
 WORD = byte_table({*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)})
 _CLEAN = bytes(b + 32 if 65 <= b < 91 else b if WORD[b] else 32 for b in range(256))
-_built: dict[str, ahocorasick.Automaton] = {}
+_built: dict[str, Windows] = {}
 
 
 def normalised(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_CLEAN).split()
 
 
-def windows(words: list[bytes], size: int) -> list[bytes]:
-    if not words:
-        return []
-    k = min(size, len(words))
-    return [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
-
-
-def automaton(items: list[tuple[str | None, str]], size: int) -> ahocorasick.Automaton:
-    """Keys are windows between spaces, one Latin-1 character a byte; values are (number of words, ids of the items that have it)."""
-    found: dict[bytes, tuple[int, set]] = {}
-    for item, text in items:
-        for w in windows(normalised(text), size):
-            found.setdefault(w, (w.count(b" ") + 1, set()))[1].add(item)
-    a = ahocorasick.Automaton()
-    for w, (n, ids) in found.items():
-        a.add_word(f" {w.decode('latin-1')} ", (n, frozenset(x for x in ids if x is not None)))
-    a.make_automaton()
-    return a
-
-
-def hits(a: ahocorasick.Automaton, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
-    """Which words lie in an occurrence (None: none does), and the items that occur."""
-    if not len(a) or not words:
-        return None, set()
-    line = f" {b' '.join(words).decode('latin-1')} "
-    marks, ids, ends = None, set(), None
-    for end, (n, found) in a.iter(line):
-        if marks is None:
-            marks = np.zeros(len(words) + 1, dtype=np.int32)
-            ends = np.cumsum([len(w) + 1 for w in words])
-        last = int(np.searchsorted(ends, end))
-        marks[last + 1] -= 1
-        marks[last + 1 - n] += 1
-        ids |= found
-    return (None, ids) if marks is None else (np.cumsum(marks[:-1]) > 0, ids)
+class Windows:
+    """The automaton over all windows of the items: keys are runs of word numbers (from 1, in the order met), values (number of words, ids of the items that have it)."""
+
+    def __init__(self, items: list[tuple[str | None, str]], size: int):
+        self.number: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], set] = {}
+        for item, text in items:
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in normalised(text)]
+            k = min(size, len(words))
+            for i in range(len(words) - k + 1 if k else 0):
+                found.setdefault(tuple(words[i : i + k]), set()).add(item)
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, ids in found.items():
+            self.tree.add_word(w, (len(w), frozenset(x for x in ids if x is not None)))
+        self.tree.make_automaton()
+
+    def hits(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
+        """Which words lie in an occurrence (None: none does), and the items that occur."""
+        if not len(self.tree) or not words:
+            return None, set()
+        line = tuple(map(self.number.get, words, repeat(0)))  # 0: a word that no item has
+        marks, ids = None, set()
+        for end, (n, found) in self.tree.iter(line):
+            if marks is None:
+                marks = np.zeros(len(words) + 1, dtype=np.int32)
+            marks[end + 1] -= 1
+            marks[end + 1 - n] += 1
+            ids |= found
+        return (None, ids) if marks is None else (np.cumsum(marks[:-1]) > 0, ids)
 
 
 def char_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -79,7 +74,7 @@ def char_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(chars[t.starts[a]]), int(chars[t.ends[b - 1]])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 4 << 20, spans: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 1 << 20, spans: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), with
     spans also the original's character ranges `hit_spans`.
 
@@ -116,14 +111,14 @@ def _scan(state: DataFrame, sent, window: int, share: int, last: bool, spans: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _built:  # once for each worker process
             _built.clear()
-            _built[name] = automaton(sent.value, window)
+            _built[name] = Windows(sent.value, window)
         a = _built[name]
         for batch in batches:
             out: list[tuple] = []
             for text, was, seen in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 text, was = text.as_py(), was.as_py()
                 words = normalised(text or "")
-                hit, ids = hits(a, words)
+                hit, ids = a.hits(words)
                 ids |= set(seen.as_py() or ())
                 if was is not None:
                     before = np.frombuffer(was, dtype=bool)

