@@ -38,11 +38,16 @@ def encoder(path: str, special: bool = False) -> Callable[[str], list[int]]:
     """
     key = path, special
     if key not in _encoders:
-        from tokenizers import Tokenizer
+        plain = []  # loaded for the first text that needs it
+
+        def slow(text: str) -> list[int]:
+            if not plain:
+                from tokenizers import Tokenizer
+
+                plain.append(Tokenizer.from_file(path))
+                plain[0].encode_special_tokens = not special
+            return plain[0].encode(text, add_special_tokens=False).ids
 
-        plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = not special
-        slow = lambda text: plain.encode(text, add_special_tokens=False).ids
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
