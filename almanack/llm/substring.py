@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanack.llm.common import NOT_SPACE, SEEN, Texts, once, semi, steps, text_key, window_hashes, written
+from almanack.llm.common import NOT_SPACE, SEEN, Texts, fresh, once, semi, steps, text_key, window_hashes, written
 
 
 def lengths(window: int, least: int = 8) -> list[int]:
@@ -99,9 +99,10 @@ def _digest(docs: DataFrame, short: int, window: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, hashes: list[str]) -> DataFrame:
-    """k1, k2 and the places of the windows whose hash occurs twice. Counts are summed before the shuffle; only hashes come back."""
-    twice = rows.groupBy(*hashes).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*hashes)
-    return rows.join(twice, hashes, "left_semi").groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+    """k1, k2 and the places of the windows whose hash occurs twice. Counts are summed before the shuffle; the hashes are written and come back by broadcast where they
+    are few, else by a shuffle whose hot partitions Spark may split, since nothing but the join reads it."""
+    twice = written(rows.groupBy(*hashes).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*hashes), "substring-twice")
+    return semi(rows, twice, hashes).groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
 
 
 def _next(texts: DataFrame, short: int, longer: int, window: int, last: bool) -> DataFrame:
@@ -201,10 +202,10 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     parts = _cut(texts.join(live, ["k1", "k2"]).join(copies, ["k1", "k2"], "left_anti"), window, True).select("k1", "k2", "kept")
     changed = written(parts.unionByName(copies.select("k1", "k2", F.lit("").alias("kept"))), "substring-kept")
     few = changed.agg(F.coalesce(F.sum(F.octet_length("kept") + 64), F.lit(0))).first()[0] <= 8 << 20
-    k1, k2 = text_key()
-    out = docs.withColumns({"__k1": k1, "__k2": k2})
-    keyed = changed.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("kept").alias("__kept"))
-    out = out.join(F.broadcast(keyed) if few else keyed, ["__k1", "__k2"], "left").withColumn("text", F.coalesce("__kept", "text"))
+    a, b, kept = fresh(docs, "k1", "k2", "kept")
+    out = docs.withColumns(dict(zip((a, b), text_key(), strict=True)))
+    keyed = changed.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("kept").alias(kept))
+    out = out.join(F.broadcast(keyed) if few else keyed, [a, b], "left").withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.char_length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.char_length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
