@@ -8,8 +8,9 @@ are then exchanged once, by fine ranges (several to a shard), and numbered insid
 
 Law `bytes`: sizes (UTF-8 bytes plus 8; null: 8) near equal; grown_shard is null.
 
-Cases: null texts count as 8 bytes and sort as one text; repeated rows tie on the whole key and are told apart only inside their fine range; an empty
-table gives no rows; a null doc_id is a document of its own hash; other columns are carried along, and columns of clashing names are replaced.
+Cases: null texts count as 8 bytes and sort as one text; repeated rows tie on the whole key and are told apart only inside their fine range, but for rows of
+one document that hold more than `group_share` of a shard, which are counted and dealt again as numbered copies; an empty
+table gives no rows; a null doc_id is a document of its own hash; texts of any length are one row; other columns are carried along, and columns of clashing names are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanack.llm.common import written
+from almanack.llm.common import fresh, written
 
 _TOP = 1 << 64
 
@@ -118,9 +119,17 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, group_sha
     grown_shard. A fine range holds about range_bytes at most, unless one document is larger."""
     names = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 8
-    keyed = docs.drop(*names).withColumns({"__a": F.xxhash64("text"), "__b": F.xxhash64("doc_id", F.lit("shard")), "size": size})
-    keys = written(keyed.select(F.col("__a").alias("a"), F.col("__b").alias("b"), "size"), "shard-keys")
+    a, b, part, copy = fresh(docs, "a", "b", "fine", "copy")
+    keyed = docs.drop(*names).withColumns({a: F.xxhash64("text"), b: F.xxhash64("doc_id", F.lit("shard")), "size": size})
+    keys = written(keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), "size"), "shard-keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    ties = keys.groupBy("a", "b").agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("all") * shards > group_share * total))
+    ties = written(ties.select(F.col("a").alias(a), F.col("b").alias(b)), "shard-ties")  # at most shards / group_share rows
+    if not ties.isEmpty():
+        same = keyed.join(F.broadcast(ties), [a, b], "left_semi").groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias(copy))
+        same = same.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).withColumn(b, F.xxhash64(b, copy)).drop(copy)
+        keyed = keyed.join(F.broadcast(ties), [a, b], "left_anti").select(*keyed.columns).unionByName(same)
+        keys = written(keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), "size"), "shard-keys")
     per = max(1, -(-total // (shards * range_bytes)))
     cuts, below, _ = splitters(keys, shards * per, tolerance, group_share, group=per)
     starts = [0, *(rows for _, rows in below)]
@@ -133,8 +142,8 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, group_sha
         high, low = sent.value
         return pd.Series(_slots(high, low, a.to_numpy(), b.to_numpy()).astype(np.int32))
 
-    offset = F.element_at(F.array(*(F.lit(starts[k] - first[k]).cast("bigint") for k in range(shards * per))), F.col("__fine") + 1)
-    out = keyed.withColumns({"text_crc32": F.crc32(F.coalesce("text", F.lit("")).cast("binary")), "__fine": fine("__a", "__b")})
-    out = out.withColumn("slot", F.row_number().over(Window.partitionBy("__fine").orderBy("__a", "__b")).cast("bigint") - 1 + offset)
-    out = out.withColumns({"law": F.lit("bytes"), "shard": (F.col("__fine") / per).cast("int"), "grown_shard": F.lit(None).cast("int")})
+    offset = F.element_at(F.array(*(F.lit(starts[k] - first[k]).cast("bigint") for k in range(shards * per))), F.col(part) + 1)
+    out = keyed.withColumns({"text_crc32": F.crc32(F.coalesce("text", F.lit("")).cast("binary")), part: fine(a, b)})
+    out = out.withColumn("slot", F.row_number().over(Window.partitionBy(part).orderBy(a, b)).cast("bigint") - 1 + offset)
+    out = out.withColumns({"law": F.lit("bytes"), "shard": (F.col(part) / per).cast("int"), "grown_shard": F.lit(None).cast("int")})
     return out.select(*(c for c in docs.columns if c not in names), *names)

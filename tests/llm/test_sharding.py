@@ -42,6 +42,20 @@ def test_hot_text_and_fine_ranges(spark):
     assert all(abs(x - mean) < 0.02 * mean for x in size.values())
 
 
+def test_many_equal_rows(spark):
+    """Rows of one document and text are dealt over shards too, and stay whole in number; one very long text is one row."""
+    _, size = check(spark, [(7, "hot text " * 20)] * 3000 + [(i, f"text {i} " * 20) for i in range(3001)])
+    mean = sum(size.values()) / 24
+    assert set(size) == set(range(24)) and all(abs(x - mean) < 0.02 * mean for x in size.values())
+    check(spark, [(1, "long " * 100_000), (2, "a"), (3, "b")])
+
+
+def test_names_of_its_own(spark):
+    df = spark.createDataFrame([(i, f"t{i}", i, "mine", i) for i in range(50)], "doc_id bigint, text string, a int, __b string, fine int")
+    got = sharding.shard(df, shards=3).collect()
+    assert {(x.a, x["__b"], x.fine) for x in got} == {(i, "mine", i) for i in range(50)}
+
+
 def test_small(spark):
     assert check(spark, [])[0] == []
     check(spark, [(1, "a")])
