@@ -3,7 +3,7 @@
 A line that has a license word opens candidate blocks: the line itself, and, around each license word that no exact notice holds yet, the text
 before and after it as far as a template could reach, over line ends. Each block is compressed alone and with templates as zstandard raw dictionary; templates
 are ranked by the share of bytes saved. Down the ranking, a template is confirmed by wording: block and template are aligned word by word, and the words that differ
-must stay within `differ` of the template's words (none at all for a short notice). Around a license word only templates whose words are there are compressed.
+must stay within the share that the template states (none at all for a short notice: one word more or less, or another version, makes another license). Around a license word only templates whose words are there are compressed.
 
 Cases: null and empty texts have no block; repeated lines and rows are scanned each for itself (a task remembers blocks that it has judged, up to a bound);
 equal savings rank by license name; very long lines are blocks like others, cut at no length; an empty table gives no rows; only doc_id and text
@@ -29,28 +29,28 @@ _GAP = r"[ \t\r\n*#/;%>!|-]+"
 #: Words of lines that are looked at (Java and Python pattern alike).
 WORD = rf"(?i)licen[sc]|copyright|permission|warrant|redistribut|public{_GAP}domain|all{_GAP}rights{_GAP}reserved|\bCC(?:0|{_GAP}(?:BY|0))|\bGPL|\bSPDX"
 
-#: License notices, one or more to an SPDX name.
-TEMPLATES: list[tuple[str, str]] = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0."),
-    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
-    ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+#: Of the words of a whole license text, how many may differ.
+TEXT = 0.1
+#: License notices, one or more to an SPDX name, each with the share of its words that may differ.
+TEMPLATES: list[tuple[str, str, float]] = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", 0.0),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.', TEXT),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License.", 0.0),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License.", 0.0),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", 0.0),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", 0.0),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", 0.0),
+    ("CC0-1.0", "Released under CC0 1.0.", 0.0),
+    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2.", 0.0),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3.", 0.0),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", TEXT),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", TEXT),
+    ("MIT", "Released under the MIT License.", 0.0),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.', TEXT),
+    ("LicenseRef-All-Rights-Reserved", "All rights reserved.", 0.0),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", 0.0),
 ]
 _REMEMBERED = 50_000
-#: Templates of fewer words are notices, whose wording must be exact: one word more or less, or another version, makes another license.
-_LONG = 30
 
 
 _WORDS = re.compile(r"[^\W_]+(?:\.\d+)*")
@@ -63,13 +63,13 @@ def words(text: str) -> list[str]:
 class Scanner:
     """All templates as dictionaries, made once in a task."""
 
-    def __init__(self, templates: list[tuple[str, str]], differ: float):
-        self.differ = differ
+    def __init__(self, templates: list[tuple[str, str, float]]):
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.items = []
-        for name, text in sorted(templates):
+        for name, text, differ in sorted(templates):
             d = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.items.append((name, text, words(text), zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
+            want = words(text)
+            self.items.append((name, int(differ * len(want)), want, zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
         self.known: dict[str, list] = {}
 
     def ranked(self, block: str) -> list[tuple[float, str, int]]:
@@ -97,8 +97,7 @@ class Scanner:
         return len(want) - same + (end - m[0].a - same), m[0].a, end
 
     def may_differ(self, number: int) -> int:
-        n = len(self.items[number][2])
-        return int(self.differ * n) if n >= _LONG else 0
+        return self.items[number][1]
 
     def judge(self, block: str) -> tuple[str, float, int, int, int, int] | None:
         """(license, share saved, words that differ, first and end word, words of the template) of a block alone."""
@@ -176,7 +175,7 @@ def _pattern() -> re.Pattern:
     return re.compile(WORD)
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, differ: float = 0.1, spans: bool = False) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str, float]] | None = None, spans: bool = False) -> DataFrame:
     """One row per document: doc_id, n_candidates (lines with a license word), n_confirmed (notices), licenses (confirmed names, sorted, comma-joined), license (that of
     the greatest saving, the first on ties; null if none), saved (its share of bytes) and n_differ (its differing words); with spans the candidates
     themselves. One pass, no shuffle."""
@@ -186,7 +185,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, differ
     fields += [T.StructField("candidates", found_type)] if spans else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, differ)
+        scanner = Scanner(templates)
         for batch in batches:
             rows = []
             for text in batch.column(1):

@@ -1,3 +1,6 @@
+import random
+from difflib import SequenceMatcher
+
 from almanack.llm import licenses
 
 MIT = licenses.TEMPLATES[[x[0] for x in licenses.TEMPLATES].index("MIT") + 1][1]
@@ -9,9 +12,9 @@ def scan(spark, texts, **more):
 
 
 def test_every_template_is_found_in_any_surroundings(spark):
-    texts = [f"prose before\n{t}\nprose after" for _, t in licenses.TEMPLATES] + [f"some words, {t.upper()} and more words" for _, t in licenses.TEMPLATES]
+    texts = [f"prose before\n{t}\nprose after" for _, t, _ in licenses.TEMPLATES] + [f"some words, {t.upper()} and more words" for _, t, _ in licenses.TEMPLATES]
     got = scan(spark, texts)
-    for i, (name, _) in enumerate(licenses.TEMPLATES * 2):
+    for i, (name, _, _) in enumerate(licenses.TEMPLATES * 2):
         assert name in got[i].licenses.split(","), (name, texts[i], got[i])
 
 
@@ -29,7 +32,7 @@ def test_long_notice_over_several_lines(spark):
 
 def test_every_template_wrapped_at_each_word(spark):
     texts, want = [], []
-    for name, t in licenses.TEMPLATES:
+    for name, t, _ in licenses.TEMPLATES:
         words = t.split()
         for i in range(1, len(words)):
             one, two = " ".join(words[:i]), " ".join(words[i:])
@@ -51,3 +54,56 @@ def test_odd_rows(spark):
     assert [(got[i].n_candidates, got[i].license) for i in range(3)] == [(0, None)] * 3
     assert got[4].n_confirmed == 3 and [x.start for x in got[4].candidates] == [0, 32, 64]
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def brute(text):
+    """Names of the licenses that lie at any place of the text: all templates by all places, words compared one by one; of two at one place the longer template's."""
+    have, found = licenses.words(text), []
+    for name, t, differ in licenses.TEMPLATES:
+        want = licenses.words(t)
+        most = int(differ * len(want))
+        for lo in range(len(have)):
+            if not most and have[lo : lo + len(want)] == want:
+                found.append((len(want), lo, lo + len(want), name))
+            elif most and have[lo : lo + 1] == want[:1]:
+                m = [x for x in SequenceMatcher(None, have[lo : lo + len(want) + most], want, autojunk=False).get_matching_blocks() if x.size]
+                same, end = sum(x.size for x in m), m[-1].a + m[-1].size if m else 0
+                if len(want) - same + end - same <= most:
+                    found.append((len(want), lo, lo + end, name))
+    return sorted({x[3] for x in found if not any(y[0] > x[0] and y[1] < x[2] and x[1] < y[2] for y in found)})
+
+
+def test_against_brute_force(spark):
+    r, texts = random.Random(5), []
+    prose = lambda n: " ".join(r.choice(["balo", "keru", "nimo", "salu", "the", "software", "work", "terms"]) for _ in range(n))
+    for _ in range(60):
+        parts = [prose(r.choice([0, 3, 200]))]
+        for _ in range(r.choice([1, 2, 3])):
+            _, t, differ = r.choice(licenses.TEMPLATES)
+            w = t.split()
+            if differ:
+                for i in r.sample(range(1, len(w)), r.choice([0, 2, 20])):
+                    w[i] = "zzz"
+            elif r.random() < 0.2:
+                w.insert(r.randrange(1, len(w)), "zzz")
+            parts += [r.choice([" ", "\n"]).join(w), prose(r.choice([1, 40]))]
+        texts.append(r.choice([" ", "\n", ". "]).join(parts))
+    got = scan(spark, texts)
+    for i, t in enumerate(texts):
+        assert (got[i].licenses.split(",") if got[i].licenses else []) == brute(t), t
+
+
+def test_long_line_and_equal_rows(spark):
+    r = random.Random(6)
+    prose = [r.choice(["balo", "keru", "nimo", "salu"]) + str(r.randint(0, 99)) for _ in range(60_000)]
+    texts = []
+    for n in (1_000, 5_000, 20_000, 60_000):
+        half = n // 2
+        texts.append(" ".join([*prose[:half], "Released under the MIT License.", *prose[half:n]]))
+    got = scan(spark, [*texts, texts[0], texts[0]])
+    assert [got[i].licenses for i in range(6)] == ["MIT"] * 6 and got[4] == got[5].__class__(**{**got[5].asDict(), "doc_id": 4})
+
+
+def test_templates_that_tie_rank_by_name(spark):
+    same = [("B-1.0", "Released under one license.", 0.0), ("A-1.0", "Released under one license.", 0.0)]
+    assert scan(spark, ["Released under one license."], templates=same)[0].license == "A-1.0"
