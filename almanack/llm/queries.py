@@ -86,7 +86,7 @@ def _op8_sql(rounds: int = 20) -> str:
         "t as (select page_id, html, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as tail from pages)",
         f"p as (select page_id, html, {host.format('tail')} as host, regexp_extract(substr(tail, 1 + length(regexp_extract(tail, '^[^/?#]*'))), '^[^?#]*') as path from t)",
         "r as (" + " ".join(own) + ")",
-        r"""l as (select host as src, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*[\"'']\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'']*)', 1)) as link from p)""",
+        "l as (select host as src, unnest(regexp_extract_all(regexp_replace(html, '{}', ' ', 'g'), '{}', 1)) as link from p)".format(*(x.replace("'", "''") for x in (urlfilter.SILENT, urlfilter.LINK))),
         f"e as (select src, dst, count(*) as w from (select src, {host.format('substr(link, strpos(link, chr(47) || chr(47)) + 2)')} as dst from l) where src <> dst and src <> '' and dst <> '' group by all)",
     ]
     for kind, a, b in (("allow", "src", "dst"), ("block", "dst", "src")):

@@ -5,8 +5,10 @@ allow, distrust the same over reversed edges from the hosts whose pages rules bl
 distrust, distrust / (trust + distrust), is above `threshold`; a host that neither reaches is allowed. All of it is DataFrame work: edges
 and seeds are summed before they are shuffled, and each round's scores are a written table.
 
+A link is an href attribute, quoted or not, outside comments, scripts and styles; its host ends where a quote, white space or `>` does at the latest.
+
 Cases: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; null html has no links; relative links and links
-within a host are no edges; a link whose host is empty is dropped; repeated pages count each for itself; an empty table gives no rows; only page_id,
+within a host are no edges; a link whose host is empty is dropped; html of any length is read whole; repeated pages count each for itself; an empty table gives no rows; only page_id,
 url and html are read.
 """
 
@@ -39,9 +41,15 @@ def rule_of(host: Column, path: Column, rules: Rules) -> tuple[Column, Column]:
     return name, verdict
 
 
+#: Parts of a page that hold no links (Java and RE2 alike).
+SILENT = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)|<style\b.*?(?:</style\b|\z)"
+#: Absolute links.
+LINK = r"(?i)[\s\"'/]href\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]*)"
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, w) of links between different hosts; pages has host and html."""
-    link = F.explode(F.regexp_extract_all("html", F.lit(r"(?i)\bhref\s*=\s*[\"']\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"']*)"), F.lit(1)))
+    link = F.explode(F.regexp_extract_all(F.regexp_replace("html", SILENT, " "), F.lit(LINK), F.lit(1)))
     links = pages.where(F.contains(F.col("html"), F.lit("//"))).select(F.col("host").alias("src"), link.alias("to"))
     dst, _ = host_and_path(F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("x:"), "to")).otherwise(F.col("to")))
     return links.select("src", dst.alias("dst")).where("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))

@@ -46,6 +46,15 @@ def test_propagation_against_plain_rounds(spark):
     assert again == got
 
 
+def test_which_links_count(spark):
+    bad = (9, "https://bad.net/fr/x", "")
+    html = {"plain": "<a href=https://bad.net/>", "plain, no end": "<a href=//bad.net", "upper": "<A HREF = 'HTTPS://BAD.NET/x y'>", "long": "x " * 300_000 + '<a\nhref="https://bad.net/">', "after a script": '<script>s="</a>"</script><a class=c href=https://bad.net>'}
+    none = {"comment": '<!-- <a href="https://bad.net/"> -->', "open comment": '<!-- <a href="https://bad.net/">', "script": '<script>s=\'<a href="https://bad.net/">\'</script>', "other attribute": '<a data-href="https://bad.net/">', "own": '<a href="/x">', "null": None}
+    rows = [(i, f"https://h{i}.org/", x) for i, x in enumerate([*html.values(), *none.values()], 10)]
+    got, _ = judged(spark, [bad, *rows])
+    assert {k: got[i][3] for i, k in enumerate([*html, *none], 10)} == dict.fromkeys(html, "block") | dict.fromkeys(none, "allow")
+
+
 def test_empty(spark):
     assert judged(spark, [])[1] == []
 
