@@ -10,7 +10,7 @@ candidate's block, a stated query set against all rows.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of different dimensions are compared within their
 dimension; ties go to the smaller vec_id; fewer candidates than k give all; a query is no candidate of its own, but other rows with equal vectors are;
-a repeated vec_id is one vector (the first in order of its components); a null vec_id takes no part; an empty table gives no rows;
+rows that repeat a vec_id are one vector (the first in order of its components), or with `every_row`, as in the query, each a candidate of its own; a null vec_id takes no part; an empty table gives no rows;
 components and scores beyond a long are held at its ends.
 """
 

@@ -81,3 +81,82 @@ def test_every_language_is_learned(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert language.train(df, per_lang=30, max_langs=2, epochs=1).langs == ["l0", "l1", "l2"]
     assert language._sample(df, 30, 2).groupBy("lang").count().where("count > 20").count() == 0
+
+
+def grams_of(symbols, orders, bits, salt):
+    """Buckets by plain integer arithmetic."""
+    out, whole = [], (1 << 32) - 1
+    for n in orders:
+        for i in range(len(symbols) - n + 1):
+            h = salt
+            for x in symbols[i : i + n]:
+                h = ((h ^ x) * 0x9E3779B1) & whole
+                h ^= h >> 15
+            out.append((((h * 0x85EBCA77) & whole) ^ n) >> (32 - bits))
+    return out
+
+
+def test_language_scores_against_plain_arithmetic(spark):
+    import math
+
+    rows = corpus(120) + ODD[:6] + [(5, "Salu, tokaen  é1", "xx")] * 2
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id bigint, text string, lang string, `__row` int, rejected int")
+    model = language.train(df, per_lang=60, epochs=2)
+    got = language.predict(df.select("doc_id", "text"), model, ("doc_id", "text")).collect()
+    assert len(got) == len(rows) and language.accepted(df, model).columns == df.columns
+    for x in got:
+        if not any(c.isalpha() for c in x.text or ""):
+            assert (x.lang_pred, x.score, x.rejected) == ("und", 0.0, True)
+            continue
+        low = bytes(b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in x.text.encode())
+        framed = [32, *low, 32]
+        framed = [b for i, b in enumerate(framed) if not i or b != 32 or framed[i - 1] != 32]
+        ids = grams_of(framed, (1, 2, 3, 4), language.BITS, 1)
+        z = [(sum(float(model.weights[i][k]) for i in ids) / len(ids) + float(model.bias[k])) / model.temperature for k in range(len(model.langs))]
+        p = [math.exp(v - max(z)) for v in z]
+        best = max(range(len(p)), key=lambda k: p[k])
+        assert abs(p[best] / sum(p) - x.score) < 1e-4 and (model.langs[best] == x.lang_pred or sorted(p)[-2] > 0.999)
+
+
+def test_two_languages_that_tie():
+    import numpy as np
+
+    model = language.Model(["aa", "bb"], np.zeros((1 << language.BITS, 2)), np.zeros(2), 1.0, 0.0)
+    assert model.langs[int(model.probabilities(np.array([1, 2])).argmax())] == "aa"  # the first by name
+
+
+def test_quality_scores_against_plain_arithmetic(spark):
+    import math
+
+    r = random.Random(9)
+    texts = [(i, " ".join(r.choice(VOCABULARY["xx"]) if i % 3 else r.choice("QXZ") * 3 for _ in range(12)), i % 3 > 0) for i in range(150)]
+    docs = spark.createDataFrame([(i, t, 0.5, "q") for i, t, _ in texts] + [(900, None, 0.5, "q"), (3, texts[3][1], 0.5, "q")], "doc_id bigint, text string, score double, quality string")
+    labels = spark.createDataFrame([(i, int(q)) for i, _, q in texts] * 2 + [(4, 0), (4, 1)], "doc_id bigint, quality int")  # repeated labels, and one document with both
+    model = quality.train(docs, labels, per_class=60)
+    got = quality.scores(docs, model).collect()
+    assert len(got) == 152
+    kinds = lambda w: sum({1 if 97 <= b < 123 else 2 for b in w.encode()}) | min(int(math.log2(len(w))), 5) << 7
+    plain = {None: math.nan}
+    for i, t, _ in texts:
+        words = t.split()
+        codes = [kinds(w) | (k > 0 and w == words[k - 1]) << 6 for k, w in enumerate(words)]
+        seen = {*grams_of([*t.encode()], (1, 2, 3), quality.BITS, 2), *grams_of(codes, (1, 2, 3, 4), quality.BITS, 3)}
+        plain[i] = 1 / (1 + math.exp(-(model.slope * (sum(float(model.weights[k]) for k in seen) + model.bias) + model.shift)))
+    plain[900] = 1 / (1 + math.exp(-(model.slope * model.bias + model.shift)))
+    assert all(abs(x.score - plain[x.doc_id]) < 1e-9 for x in got)
+
+
+def test_dual_descent_reaches_the_optimum():
+    """Against the primal: no small step away from the weights lowers the squared hinge loss."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(60)]
+    y, values, cost = np.where(rng.random(60) < 0.5, 1, -1), rng.standard_normal(12), 0.5
+    w, b = quality.dual_descent(rows, values, y, cost, 2000, np.random.default_rng(0))
+    x = np.zeros((60, 13))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 12] = values[r], 1
+    loss = lambda v: 0.5 * v @ v + cost * (np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
+    own = np.r_[w, b]
+    assert all(loss(own) <= loss(own + s * 1e-2 * np.eye(13)[k]) + 1e-6 for k in range(13) for s in (1, -1))
