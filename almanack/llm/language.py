@@ -92,13 +92,13 @@ def train(docs: DataFrame, per_lang: int = 700, max_langs: int = 200, epochs: in
     got = _examples(_sample(docs, per_lang, max_langs))
     if not got.num_rows:
         return None
-    order = np.argsort([f"{a}{len(b)}{b[:4]}" for a, b in zip(got["lang"].to_pylist(), got["buckets"].to_pylist(), strict=True)], kind="stable")  # any order of tasks gives one model
     names = got["lang"].to_pylist()
     langs = sorted(set(names))
     place = {x: i for i, x in enumerate(langs)}
     y = np.array([place[x] for x in names])
-    rows = [(got["buckets"][int(i)].values.to_numpy(), got["counts"][int(i)].values.to_numpy().astype(np.float32)) for i in range(got.num_rows)]
+    rows = [(b.values.to_numpy(), c.values.to_numpy()) for b, c in zip(got["buckets"], got["counts"], strict=True)]  # views of the table
     kinds = got["kind"].to_numpy()
+    order = np.argsort([f"{a}{len(b)}{b[:4].tolist()}" for a, (b, _) in zip(names, rows, strict=True)], kind="stable")  # any order of tasks gives one model
     rng = np.random.default_rng(7)
     order = rng.permutation(order)
     back, use = order[: len(order) // 5], order[len(order) // 5 :]
@@ -110,7 +110,8 @@ def train(docs: DataFrame, per_lang: int = 700, max_langs: int = 200, epochs: in
     for _ in range(epochs):
         for i in rng.permutation(use):
             ids, n = rows[i]
-            w = n / n.sum()
+            w = n.astype(np.float32)
+            w /= w.sum()
             x = w @ emb[ids]
             z = x @ soft + bias
             g = np.exp(z - z.max())
@@ -124,7 +125,8 @@ def train(docs: DataFrame, per_lang: int = 700, max_langs: int = 200, epochs: in
             emb[ids] -= (0.3 * step / float(w @ w) * w)[:, None] * dx  # long texts move as far as short ones
             done += 1
     model = Model(langs, emb @ soft, bias, 1.0, 0.0)
-    z = np.array([(rows[i][1] / rows[i][1].sum()) @ model.weights[rows[i][0]] + bias for i in back])
+    share = lambda n: n.astype(np.float32) / n.astype(np.float32).sum()
+    z = np.array([share(rows[i][1]) @ model.weights[rows[i][0]] + bias for i in back])
     best = min(np.geomspace(0.05, 20, 60), key=lambda t: _loss(z / t, y[back]))
     model.temperature = float(best)
     p = np.exp(z / best - (z / best).max(axis=1, keepdims=True))
