@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from almanack.functions.text import let
+
 #: Covered cities (name, key, aliases). The first two aliases name the city, the others lie in it.
 CITIES: list[tuple[str, str, list[str]]] = [
     ("Mumbai", "mumbai", ["mumbai", "bombay", "navi mumbai", "thane", "andheri", "bandra", "powai", "worli", "juhu", "colaba", "lower parel", "goregaon", "malad", "borivali", "vashi", "kharghar", "bandra kurla complex", "bkc", "mahalaxmi", "nariman point", "dadar", "chembur"]),
@@ -19,11 +21,11 @@ CITIES: list[tuple[str, str, list[str]]] = [
 ]
 #: Towns that are city names too, and towns outside.
 NEAR_TOWNS = ["delhi", "ncr", "gurugram", "gurgaon", "noida", "greater noida", "faridabad", "ghaziabad", "navi mumbai", "thane", "howrah", "gandhinagar", "secunderabad", "hyderabad"]
-OTHER_TOWNS = (
-    "hyderabad,secunderabad,goa,panaji,jaipur,lucknow,chandigarh,kochi,cochin,thiruvananthapuram,trivandrum,coimbatore,mysuru,mysore,mangaluru,mangalore,nagpur,nashik,surat,vadodara,baroda,"
-    "rajkot,indore,bhopal,bhubaneswar,guwahati,patna,ranchi,visakhapatnam,vizag,vijayawada,madurai,dehradun,amritsar,ludhiana,udaipur,jodhpur,agra,varanasi,shillong,lonavala,alibaug,"
-    "pondicherry,puducherry,dubai,abu dhabi,singapore,london,bangkok"
-).split(",")
+OTHER_TOWNS = [
+    "hyderabad", "secunderabad", "goa", "panaji", "jaipur", "lucknow", "chandigarh", "kochi", "cochin", "thiruvananthapuram", "trivandrum", "coimbatore", "mysuru", "mysore", "mangaluru", "mangalore",
+    "nagpur", "nashik", "surat", "vadodara", "baroda", "rajkot", "indore", "bhopal", "bhubaneswar", "guwahati", "patna", "ranchi", "visakhapatnam", "vizag", "vijayawada", "madurai", "dehradun",
+    "amritsar", "ludhiana", "udaipur", "jodhpur", "agra", "varanasi", "shillong", "lonavala", "alibaug", "pondicherry", "puducherry", "dubai", "abu dhabi", "singapore", "london", "bangkok",
+]
 #: Places abroad, and words for events without a place.
 ABROAD = (
     r"(?i)\b(?:australia|united kingdom|england|scotland|united states|usa|u\.s\.a|canada|singapore|dubai|abu dhabi|united arab emirates|uae|qatar|doha|saudi arabia|riyadh|malaysia|"
@@ -53,15 +55,12 @@ def last_place(text: Column, names: list[str]) -> Column:
 def detect_city(*texts: Column) -> Column:
     """The covered city that the texts name, the last mention winning; localities decide only where no city is named. Null: none."""
     blob = F.lower(F.array_join(F.filter(F.array(*(F.coalesce(t, F.lit("")) for t in texts)), lambda t: t != ""), " | "))
-    out = []
-    for cut in (2, None):
-        places = [(last_place(blob, aliases[:cut]), name) for name, _, aliases in CITIES]
-        best = F.greatest(*(p for p, _ in places))
-        pick = F.lit(None).cast("string")
-        for p, name in reversed(places):
-            pick = F.when((p == best) & (best > 0), name).otherwise(pick)
-        out.append(pick)
-    return F.coalesce(*out)
+
+    def last_named(b: Column, cut: int | None) -> Column:
+        found = F.array(*(F.struct(last_place(b, aliases[:cut]).alias("at"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, _, aliases) in enumerate(CITIES)))
+        return let(F.array_max(found), lambda x: F.when(x.at > 0, x["name"]))  # the earlier city on ties
+
+    return let(blob, lambda b: F.coalesce(last_named(b, 2), last_named(b, None)))
 
 
 def detect_other_town(address: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,13 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words of a title that do not tell events apart.
-TITLE_STOP_WORDS = (
-    "live tour india show shows concert the a an ft feat featuring presents present presented by and with in at of x edition season official tickets ticket event on for to "
-    "mumbai pune delhi new ncr gurugram gurgaon noida bengaluru bangalore kolkata ahmedabad chennai night nights experience"
-).split()
+TITLE_STOP_WORDS = [
+    "live", "tour", "india", "show", "shows", "concert", "the", "a", "an", "ft", "feat", "featuring", "presents", "present", "presented", "by", "and", "with", "in", "at", "of", "x", "edition",
+    "season", "official", "tickets", "ticket", "event", "on", "for", "to", "mumbai", "pune", "delhi", "new", "ncr", "gurugram", "gurgaon", "noida", "bengaluru", "bangalore", "kolkata", "ahmedabad",
+    "chennai", "night", "nights", "experience",
+]
 #: Platform names that end a page title, and how a title is led in and out.
-PLATFORM_SUFFIX = r"bookmyshow|district(?: by zomato)?|zomato district|allevents(?:\.in)?|eventbrite|meetup|fever|skillbox(?:es)?|sortmyscene|insider|explara"
-TITLE_SUFFIX = r"(?i)\s*(?:[|\-–—:]\s*)?(?:buy\s+)?(?:event\s+)?tickets?(?:\s+online)?(?:\s+(?:at|on)\s+[\w .]+)?$|\s*[|\-–—]\s*(?:" + PLATFORM_SUFFIX + r")\b.*$"
+TITLE_SUFFIX = (
+    r"(?i)\s*(?:[|\-–—:]\s*)?(?:buy\s+)?(?:event\s+)?tickets?(?:\s+online)?(?:\s+(?:at|on)\s+[\w .]+)?$|"
+    r"\s*[|\-–—]\s*(?:bookmyshow|district(?: by zomato)?|zomato district|allevents(?:\.in)?|eventbrite|meetup|fever|skillbox(?:es)?|sortmyscene|insider|explara)\b.*$"
+)
 TITLE_PREFIX = r"(?i)^(?:book|buy)\s+tickets?\s+(?:for|to)\s+"
 #: Abbreviations that do not end a sentence, openings and filler of descriptions.
 ABBREVIATIONS = ("vs", "Vs", "ft", "Ft", "feat", "Dr", "Mr", "Mrs", "Ms", "St", "No")
@@ -27,6 +31,11 @@ SENTENCE_END = "".join(rf"(?<!\b{x}\.)" for x in ABBREVIATIONS) + r"(?<=[.!?])\s
 ILLEGAL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: what is read often inside an expression would else be copied at each place."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -49,7 +58,7 @@ def clean_text(c: Column, entities: bool = False) -> Column:
     """One line of readable text. entities: resolve HTML entities by the full table (an Arrow UDF); else only the five of XML, in the JVM."""
     c = text_of(c)
     if entities:
-        c = F.when(F.contains(c, F.lit("&")), _unescaped(c)).otherwise(c)
+        c = F.when(F.contains(c, F.lit("&")), _unescaped(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)  # the others reach Python as nulls
     else:
         for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
             c = F.replace(c, F.lit(name), F.lit(char))
@@ -134,9 +143,10 @@ def slugify(c: Column) -> Column:
 
 
 def title_from_url(url: Column) -> Column:
-    """The last path part without id and extension, as words with capitals."""
-    slug = F.regexp_extract(F.regexp_replace(url, r"[?#].*$|/+$", ""), r"([^/]*)$", 1)
-    return F.initcap(squash(F.regexp_replace(F.regexp_replace(slug, r"\.[a-z]+$|-?\b\d{5,}\b", ""), "[-_+]+", " ")))
+    """The last path part that is no id, without ticket endings and long numbers, as words with capitals."""
+    parts = F.filter(F.split(F.regexp_replace(url, r"[?#].*$", ""), "/"), lambda p: (p != "") & ~p.rlike(r"(?i)^(?:ET)?\d+$"))
+    slug = F.regexp_replace(F.coalesce(F.get(F.reverse(parts), F.lit(0)), F.lit("")), r"-buy-tickets$|-tickets-\d+$|-\d{6,}$", "")
+    return clean_title(F.initcap(F.replace(slug, F.lit("-"), F.lit(" "))))
 
 
 def norm_header(c: Column) -> Column:

@@ -12,10 +12,11 @@ from almanack.functions import classify, dates, places, text
 LONG_RUNNING = r"(?i)\b(?:exhibitions?|exhibit|museum|gallery|installation|retrospective|art show|immersive|experience centre|showcase)\b"
 #: Venue texts that are none, section names that say no more than the activity, and a phrase for each activity.
 JUNK_VENUE = r"(?i)^(?:sales end soon|sales ended|sold out|almost full|going fast|selling fast|few tickets left|free|book now|register|tickets?|.*\bonwards\b|₹.*|\$.*|tba|tbd|to be announced)$"
-GENERIC = (
-    "events,event,experiences,shows,show,entertainment,activities,comedy shows,comedy,music shows,music,concerts,plays,theatre,theater,sports,food & drinks,food and drinks,food,workshops,workshop,talks,exhibitions,exhibition,"
-    "performances,kids,nightlife,art,arts,culture,festivals,spirituality,meetups,screenings,adventure,fitness,parties,party,other,f&b"
-).split(",")
+GENERIC = [
+    "events", "event", "experiences", "shows", "show", "entertainment", "activities", "comedy shows", "comedy", "music shows", "music", "concerts", "plays", "theatre", "theater", "sports",
+    "food & drinks", "food and drinks", "food", "workshops", "workshop", "talks", "exhibitions", "exhibition", "performances", "kids", "nightlife", "art", "arts", "culture", "festivals",
+    "spirituality", "meetups", "screenings", "adventure", "fitness", "parties", "party", "other", "f&b",
+]
 PHRASES = {
     "Comedy": "comedy show", "Music": "live music", "Theatre": "theatre play", "F&B": "food and drinks event", "Art": "art event", "Culture": "cultural event", "Sports to Watch": "sports match",
     "Recreational Sports": "sports activity", "Workshops": "workshop",
@@ -56,13 +57,15 @@ def settled(events: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
     }).drop("__end", "__start")
 
 
-def drop_reason(first: dt.date, last: dt.date, cities: list[str] | None = None, include_online: bool = False, include_undated: bool = False) -> Column:
-    """Why a row is left out, the first reason that holds; null if it stays. Rows carry `stays` of settled()."""
+def drop_reason(first: dt.date, last: dt.date, cities: list[str] | None = None, include_online: bool = False, include_undated: bool = False, flags: tuple[str, ...] = ("nowhere", "away")) -> Column:
+    """Why a row is left out, the first reason that holds; null if it stays. Rows carry `stays` of settled() and those of the flags: nowhere (no covered city is named) and away (the
+    address names another town)."""
     reasons = [
-        ("placeholder title", places.is_placeholder_title(F.col("title"))),
+        ("city not one of ours", F.col("nowhere") if "nowhere" in flags else F.lit(False)),
+        ("other city", (F.col("away") if "away" in flags else F.lit(False)) | (F.lit(False) if cities is None else ~F.col("city").isin(cities))),
         ("online", F.lit(not include_online) & places.is_online(F.col("online"), F.col("venue"), F.col("title"))),
         ("abroad", places.is_abroad(F.col("venue"), F.col("address"), F.col("title"))),
-        ("city not one of ours", F.lit(False) if cities is None else ~F.col("city").isin(cities)),
+        ("placeholder title", places.is_placeholder_title(F.col("title"))),
         ("no date", F.lit(not include_undated) & F.col("start").isNull()),
         ("long series", ~F.col("stays")),
         ("outside the window", F.col("start").isNotNull() & ~in_window(first, last)),

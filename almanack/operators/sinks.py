@@ -10,10 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanack.functions import money, places, text
-from almanack.operators.tables import newest, serials
+from almanack.functions.classify import ACTIVITIES, TIERS, UNKNOWN_TIER
+from almanack.operators.tables import counts_by, crosstab, newest, serials
 from almanack.schema import buy_link, identity
 
 CALENDAR = ["event_name", "activity_type", "tier", "start_date", "end_date", "city", "venue", "organizer", "price_range", "platforms", "notes", "register_by", "link"]
+#: The rolling calendar shows no price and no organiser.
+ROLLING = [c for c in CALENDAR if c not in ("price_range", "organizer")]
+#: Kinds of the tables that a new book starts with.
+TABLES = {
+    "master": ", ".join(["serial bigint", *(f"{c} {'date' if c in ('start_date', 'register_by') else 'string'}" for c in CALENDAR), "added_on date"]),
+    "master_index": "identity string, link string, match_key string, event_name string, city string, start_date date, added_on date, seq double",
+}
 
 
 def calendar_rows(events: DataFrame) -> DataFrame:
@@ -31,7 +39,8 @@ def calendar_rows(events: DataFrame) -> DataFrame:
 
 
 class Book:
-    """The tables master, master_index, rolling, run_log and their generated-table register under a root that every executor reaches."""
+    """The tables master, master_index, rolling, run_log and others under a root that every executor reaches. Tables that are made anew are named in a register; a name that is not in it belongs
+    to the user and is left alone."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -50,10 +59,42 @@ class Book:
     def read(self, name: str) -> DataFrame | None:
         return self.spark.read.option("mergeSchema", "true").parquet(self._path(name)) if self.exists(name) else None
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Write aside, then rename: readers see the old table or the new one, and a failed write leaves the old."""
+    def create(self) -> None:
+        """The empty tables of a new book; those that are there stay."""
+        for name, kinds in TABLES.items():
+            if not self.exists(name):
+                self.replace(name, self.spark.createDataFrame([], kinds))
+
+    def generated(self) -> list[str]:
+        """Names of the tables that this engine made anew and may replace."""
+        return sorted(r.name for r in self.read("_generated").collect()) if self.exists("_generated") else []  # a row a table
+
+    def publish(self, name: str, rows: DataFrame, by: list[str] | None = None) -> str:
+        """Replace a generated table; beside a user's table of that name under a name with a number. Returns the name."""
+        own, free, k = self.generated(), name, 1
+        while free not in own and self.exists(free):
+            k += 1
+            free = f"{name}_{k}"
+        self.replace(free, rows, by)
+        if free not in own:
+            self.replace("_generated", self.spark.createDataFrame([(x,) for x in [*own, free]], "name string"))
+        return free
+
+    def drop_stale(self, keep: list[str]) -> list[str]:
+        """Delete generated tables that are not to be kept; returns their names."""
+        own = self.generated()
+        gone = [x for x in own if x not in keep]
+        for x in gone:
+            fs, path = self._hadoop(x)
+            fs.delete(path, True)
+        if gone:
+            self.replace("_generated", self.spark.createDataFrame([(x,) for x in own if x in keep], "name string"))
+        return gone
+
+    def replace(self, name: str, rows: DataFrame, by: list[str] | None = None) -> None:
+        """Write aside, then rename: readers see the old table or the new one, and a failed write leaves the old. by: columns that become folders."""
         aside = f".{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(self._path(aside))
+        (rows.write.partitionBy(*by) if by else rows.write).parquet(self._path(aside))
         fs, new = self._hadoop(aside)
         _, old = self._hadoop(name)
         kept = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(f".old-{name}-{uuid.uuid4().hex}"))
@@ -77,7 +118,7 @@ class Book:
         master = self.read("master")
         last = 0 if master is None else master.agg(F.coalesce(F.max("serial"), F.lit(0))).first()[0]
         order = [places.city_rank(F.col("city")), F.asc_nulls_last("start_date"), F.lower("event_name"), F.col("identity")]
-        new = serials(once, order, last, groups=places.city_rank(F.col("city"))).withColumn("added_on", F.lit(run_at.date()))
+        new = serials(once, order, last).withColumn("added_on", F.lit(run_at.date()))
         batch = uuid.uuid4().hex
         new.write.parquet(self._path(f".batch-{batch}"))  # numbered once: both appends read the same rows
         new = self.spark.read.parquet(self._path(f".batch-{batch}"))
@@ -95,10 +136,38 @@ class Book:
             rows = rows.join(index.groupBy("identity").agg(F.max_by("added_on", "seq").alias("added_on")), "identity", "left")
         rank = places.city_rank(F.col("city"))
         order = [rank, F.asc_nulls_last("start_date"), F.lower("event_name"), F.col("identity")]
-        out = serials(rows, order, groups=rank).withColumn("in_city", F.count(F.lit(1)).over(Window.partitionBy("city")))
-        self.replace("rolling", out.drop("identity", "match_key"))
+        out = serials(rows, order).join(rows.groupBy("city").agg(F.count(F.lit(1)).alias("in_city")), "city")
+        out = out.select("serial", *ROLLING, *(["added_on"] if index is not None else []), "in_city")
+        self.publish("rolling", out)
         if by_city:
-            self.replace("by_city", out.drop("identity", "match_key").repartition("city"))
+            self.publish("by_city", out, ["city"])
+
+    def summarise(self, events: DataFrame) -> None:
+        """Events by city and tier, by city and activity, and by platform, with totals."""
+        tiers = [t for t, _ in TIERS] + [UNKNOWN_TIER]
+        self.publish("by_tier", crosstab(events, "city", "tier", tiers, totals=True))
+        self.publish("by_activity", crosstab(events, "city", "activity_type", ACTIVITIES, totals=True))
+        self.publish("by_platform", counts_by(events, "platforms", "platform"))
+
+    def dump_pages(self, pages: DataFrame, most: dict[str, int] | None = None) -> None:
+        """The first pages of each source and kind (pages: source, kind, place, url, html), 60 listings and 12 details unless said otherwise."""
+        most = most or {"listing": 60, "detail": 12}
+        row = F.row_number().over(Window.partitionBy("source", "kind").orderBy("place", "url"))
+        bound = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in most.items() for x in kv)), F.col("kind")), F.lit(0))
+        self.publish("page_dump", pages.withColumn("r", row).where(F.col("r") <= bound).drop("r"))
+
+    def health(self, events: DataFrame, stats: DataFrame, per_source: int = 3) -> DataFrame:
+        """(source, field, filled, rows, rate, discovered, errors, healthy): which fields the first `per_source` events of each source have, and what its pages gave. A source is healthy if it has events, nothing refused it and titles and starts are there."""
+        fields = ["title", "start", "venue", "city", "price_min", "organizer", "description", "url"]
+        first = events.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.asc_nulls_last("start"), "url"))).where(F.col("r") <= per_source)
+        filled = first.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(c).isNotNull() & (F.col(c).cast("string") != "")).alias(c) for c in fields))
+        whole = stats.select("source", "discovered", F.size("errors").alias("errors"), F.size("blocked").alias("refusals")).join(filled, "source", "left")
+        healthy = (F.col("discovered") > 0) & (F.col("refusals") == 0) & (F.coalesce("title", F.lit(0)) > 0) & (F.coalesce("start", F.lit(0)) > 0)
+        parts = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(c, F.lit(0)).alias("filled")) for c in fields)))
+        out = whole.withColumn("healthy", healthy).select("source", parts.alias("p"), F.coalesce("rows", F.lit(0)).alias("rows"), "discovered", "errors", "healthy")
+        rate = F.when(F.col("rows") > 0, F.col("p.filled") / F.col("rows")).otherwise(0.0)
+        self.publish("health", out.select("source", "p.field", "p.filled", "rows", rate.alias("rate"), "discovered", "errors", "healthy"))
+        return self.read("health")
 
     def log_run(self, **facts) -> None:
         """One row more; newer columns are merged into older logs on reading."""

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanack.functions.urls import robots_pattern
+from almanack.plans.steps import own_names, written
+
 
 def not_in_master(new: DataFrame, master: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new that master has by none of the keys: one anti join for each, never one join on an OR, which would be a nested loop."""
@@ -75,23 +78,50 @@ def fill_rates(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select("rows", parts.alias("p")).select("p.field", "p.filled", "rows", F.round(F.when(F.col("rows") > 0, F.col("p.filled") / F.col("rows")).otherwise(0.0), 4).alias("rate"))
 
 
-def serials(rows: DataFrame, order: list[Column], start: int = 0, groups: Column | None = None) -> DataFrame:
-    """rows with a gapless serial in the given total order, without one task holding them all: rows are ranged into buckets by the leading column, counted, and numbered in each bucket from its offset."""
-    lead = F.dense_rank().over(Window.orderBy(*order[:1])) if groups is None else groups
-    keyed = rows.withColumn("__g", lead)
-    size = keyed.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
-    before = size.withColumn("__before", F.sum("__n").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1))).select("__g", F.coalesce("__before", F.lit(0)).alias("__before"))
-    return keyed.join(F.broadcast(before), "__g").withColumn("serial", F.row_number().over(Window.partitionBy("__g").orderBy(*order)) + F.col("__before") + start).drop("__g", "__before")
+def serials(rows: DataFrame, order: list[Column], start: int = 0) -> DataFrame:
+    """rows with a gapless serial in the given order (which should be total). The rows are ranged over partitions by the whole order and written, counted, and numbered in each partition from
+    its offset, so no task holds a city or the table; only a row for each partition is gathered."""
+    part, before, n = own_names(rows, "part", "before", "n")
+    ranged = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "serials")
+    size = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    offset = size.withColumn(before, F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(part, before)
+    number = F.row_number().over(Window.partitionBy(part).orderBy(*order)) + F.col(before) + start
+    return ranged.join(F.broadcast(offset), part).withColumn("serial", number.cast("bigint")).select(*(c for c in rows.columns if c != "serial"), "serial")
+
+
+def bands(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with `band`, whether a row is the first of its group in the order, and `in_group`, how many the group has: one aggregate that combines before the shuffle, and a join with its few rows."""
+    (first,) = own_names(rows, "first")
+    heads = rows.groupBy(group).agg(F.min(F.struct(*order)).alias(first), F.count(F.lit(1)).alias("in_group"))
+    return rows.join(heads, group).withColumn("band", F.struct(*order) == F.col(first)).drop(first)
+
+
+def robots_rules(files: DataFrame, agent: str) -> DataFrame:
+    """(host, rule, allow) that hold for an agent, from robots files (host, text): the groups that name it (a part of its name will do), else those for any."""
+    lines = files.select("host", F.posexplode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("pos", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
+    lines = lines.where(F.contains("line", F.lit(":"))).select("host", "pos", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))
+    own = Window.partitionBy("host").orderBy("pos")  # the lines of one file
+    opens = (F.col("key") == "user-agent") & F.coalesce(F.lag("key").over(own) != "user-agent", F.lit(True))
+    lines = lines.withColumn("opens", opens.cast("int")).withColumn("group", F.sum("opens").over(own)).where("group > 0")
+    names = lines.where("key = 'user-agent'").select("host", "group", F.lower("value").alias("name"))
+    rank = F.when((F.col("name") != "*") & F.contains(F.lit(agent.lower()), F.col("name")), 2).when(F.col("name") == "*", 1).otherwise(0)
+    groups = names.groupBy("host", "group").agg(F.max(rank).alias("rank")).where("rank > 0")
+    best = groups.groupBy("host").agg(F.max("rank").alias("rank"))
+    groups = groups.join(best, ["host", "rank"])
+    rules = lines.where("key in ('allow', 'disallow') and value != ''").select("host", "group", F.col("value").alias("rule"), (F.col("key") == "allow").alias("allow"))
+    return rules.join(groups, ["host", "group"]).select("host", "rule", "allow").distinct()
 
 
 def robots(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """rows (id, path) with allowed: the longest matching rule decides, allow wins ties, no rule allows. rules: (rule, allow), joined as one small array."""
-    table = rules.agg(F.collect_list(F.struct("rule", "allow")).alias("rules"))  # one row
-    from almanack.functions.urls import robots_pattern
+    """rows (host, path) with allowed: of their host's rules (host, rule, allow) the longest that fits decides, allow wins ties, no rule allows. Rules meet rows by host; a rule without * and $
+    is a plain prefix, and only the others are patterns."""
+    own = rules.groupBy("host").agg(F.collect_list(F.struct("rule", "allow")).alias("__rules"))  # one file's rules
+
+    def fits(r: Column) -> Column:
+        return F.when(r.rule.rlike(r"\*|\$$"), F.regexp_like("path", robots_pattern(r.rule))).otherwise(F.startswith("path", r.rule))
 
-    fits = F.filter("rules", lambda r: F.regexp_like(F.col("path"), robots_pattern(r.rule)))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r.rule).alias("n"), r.allow.alias("allow"))))
-    return rows.crossJoin(F.broadcast(table)).withColumn("allowed", F.coalesce(best.allow, F.lit(True))).drop("rules")
+    best = F.array_max(F.transform(F.filter("__rules", fits), lambda r: F.struct(F.length(r.rule).alias("n"), r.allow.alias("allow"))))
+    return rows.join(own, "host", "left").withColumn("allowed", F.coalesce(best.allow, F.lit(True))).drop("__rules")
 
 
 def newest(rows: DataFrame, key: str, when: str) -> DataFrame:
@@ -103,13 +133,45 @@ def fresh(cache: DataFrame, when: str, now: Column, seconds: int) -> DataFrame:
     return cache.where(F.col(when) >= now - F.make_dt_interval(secs=F.lit(seconds)))
 
 
-#: Marks of pages that refuse.
-STRONG = r"(?i)access denied|captcha-delivery|attention required! \| cloudflare|request unsuccessful\. incapsula|pardon our interruption|unusual traffic"
-WEAK = r"(?i)captcha|forbidden|blocked|too many requests|rate limit"
-CHALLENGE = r"(?i)just a moment|checking your browser|enable javascript and cookies|verify you are (?:a )?human"
+#: Marks of pages that refuse: anywhere; on a small page of an error; on a tiny page of any answer.
+STRONG = ["cf-chl-", "cf_chl_opt", "/cdn-cgi/challenge-platform", "_incapsula_resource", "px-captcha", "captcha-delivery.com", "geo.captcha-delivery", "perimeterx", "challenges.cloudflare.com/turnstile"]
+WEAK = [
+    "access denied", "you don't have permission to access", "attention required! | cloudflare", "just a moment...", "request unsuccessful", "please verify you are a human", "are you a robot", "unusual traffic",
+    "enable javascript and cookies to continue", "checking your browser", "bot detection", "too many requests",
+]
+CHALLENGE = ["just a moment...", "attention required! | cloudflare", "checking your browser", "please verify you are a human", "are you a robot", "request unsuccessful"]
 
 
 def looks_blocked(status: Column, body: Column) -> Column:
-    head = F.substring(F.coalesce(body, F.lit("")), 1, 60_000)
-    size = F.length(F.coalesce(body, F.lit("")))
-    return status.isin(401, 403, 429) | head.rlike(STRONG) | ((status >= 400) & (size < 25_000) & head.rlike(WEAK)) | ((size < 8_000) & head.rlike(CHALLENGE))
+    """Whether an answer is a refusal: by its status, by a strong mark in its first 60,000 characters, by a weak one on an error page under 25,000, or by a challenge on another page under 8,000."""
+    body = F.coalesce(body, F.lit(""))
+    head, size = F.lower(F.substring(body, 1, 60_000)), F.length(body)
+    has = lambda marks: reduce(lambda a, b: a | b, (F.contains(head, F.lit(m)) for m in marks))
+    return status.isin(401, 403, 429) | has(STRONG) | ((status >= 400) & (size < 25_000) & has(WEAK)) | ((status < 400) & (size < 8_000) & has(CHALLENGE))
+
+
+def source_stats(events: DataFrame, requests: DataFrame, discovered: DataFrame, most_errors: int = 25) -> DataFrame:
+    """A row for each source: how many events it found (discovered: source, n), how many of the kept ones it lists, its pages read and failed by kind, and its distinct errors, at most `most_errors` of
+    them. requests: (source, kind listing or detail, ok, rendered, error, host_off: why its host was switched off)."""
+    kept = events.select(F.explode("sources").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("kept"))
+    found = discovered.groupBy("source").agg(F.sum("n").alias("discovered"))
+    told = lambda c: F.slice(F.array_sort(F.collect_set(F.nullif(c, F.lit("")))), 1, most_errors)
+    read = requests.groupBy("source").agg(
+        F.count_if((F.col("kind") == "detail") & F.col("ok")).alias("details_read"), F.count_if((F.col("kind") == "detail") & ~F.col("ok")).alias("details_failed"), F.count_if((F.col("kind") == "listing") & F.col("ok")).alias("listings_read"),
+        F.count_if((F.col("kind") == "listing") & F.col("ok") & F.col("rendered")).alias("listings_rendered"), told("error").alias("errors"), told("host_off").alias("blocked"),
+    )
+    rows = found.join(read, "source", "full").join(kept, "source", "left")
+    numbers = ["discovered", "details_read", "details_failed", "listings_read", "listings_rendered", "kept"]
+    none = F.array().cast("array<string>")
+    return rows.select("source", *(F.coalesce(c, F.lit(0)).alias(c) for c in numbers), *(F.coalesce(c, none).alias(c) for c in ("errors", "blocked")))
+
+
+def failed_sources(stats: DataFrame) -> DataFrame:
+    """Sources of source_stats() that cannot be trusted to have nothing: a host was switched off, or there were errors and no event."""
+    return stats.where((F.size("blocked") > 0) | ((F.size("errors") > 0) & (F.col("discovered") == 0))).select("source")
+
+
+def run_totals(events: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row: events, those with a checked link, and the pages that were read."""
+    pages = stats.agg(F.coalesce(F.sum(F.col("listings_read") + F.col("details_read")), F.lit(0)).alias("pages"))
+    return events.agg(F.count(F.lit(1)).alias("events"), F.count_if("link_verified").alias("verified")).crossJoin(F.broadcast(pages))  # one row each

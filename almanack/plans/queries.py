@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanack.functions import classify, dates, money, places, text, urls
-from almanack.operators import tables
+from almanack.operators import filters, resolve, tables
+from almanack.operators.merge import merged
 from almanack.plans.listings import SQL as LISTINGS
 from almanack.plans.listings import listings, table
+from almanack.schema import as_events
 from almanack.sources import pages as readers
 
 FIRST, LAST = dt.date(1996, 3, 1), dt.date(1996, 6, 30)
@@ -54,19 +56,25 @@ def _tier(basis: str = "min"):
 @query(f"select lid, title, city, start_d, tier, cast(row_number() over (order by city, start_d, title, lid) as bigint) as serial, count(*) over (partition by city) as in_city from (select *, {_tier_sql(LOW)} as tier from listings where {IN_WINDOW}) w")
 def calendar_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _windowed(listings(spark, sf_dir)).withColumn("tier", _tier())
-    city = F.regexp_extract("city", r"(\d+)$", 1).cast("int")
-    out = tables.serials(rows, [F.col("city"), F.col("start_d"), F.col("title"), F.col("lid")], groups=city)
-    return out.select("lid", "title", "city", "start_d", "tier", F.col("serial").cast("bigint").alias("serial"), F.count(F.lit(1)).over(Window.partitionBy("city")).alias("in_city"))
+    out = tables.bands(tables.serials(rows, [F.col("city"), F.col("start_d"), F.col("title"), F.col("lid")]), "city", ["start_d", "title", "lid"])
+    return out.select("lid", "title", "city", "start_d", "tier", "serial", F.col("in_group").alias("in_city"))
 
 
-REASON = f"case when lid % 13 = 0 then 'no date' when coalesce(end_d, start_d) < start_d then 'ends first' when not ({IN_WINDOW}) then 'outside the window' when price_min < 60 then 'cheap' end"
+REASON = f"""case when lid % 17 = 0 then 'other city' when lid % 19 = 0 then 'online' when lid % 23 = 0 then 'abroad' when lid % 29 = 0 then 'placeholder title' when lid % 13 = 0 then 'no date'
+  when end_d - start_d > 31 and start_d < date '1996-03-01' then 'long series' when not ({IN_WINDOW.replace("coalesce(end_d, start_d)", "coalesce(case when end_d - start_d <= 31 then end_d end, start_d)")}) then 'outside the window' end"""
 
 
 @query(f"select coalesce(reason, 'kept') as reason, count(*) as n from (select {REASON} as reason from listings) r group by 1")
 def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside = (F.col("start_d") <= F.lit(LAST)) & (F.coalesce("end_d", "start_d") >= F.lit(FIRST))
-    reason = F.when(F.col("lid") % 13 == 0, "no date").when(F.coalesce("end_d", "start_d") < F.col("start_d"), "ends first").when(~inside, "outside the window").when(F.col("price_min") < 60, "cheap")
-    return listings(spark, sf_dir).groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """The audit of a run: filters.settled and filters.drop_reason over listings of which some are made to fail in each way."""
+    own = lambda k: F.col("lid") % k == 0
+    rows = listings(spark, sf_dir).withColumns({
+        "city": F.when(own(17), "Elsewhere").otherwise("Pune"), "online": own(19), "venue": F.when(own(23) & ~own(19), "Arena, Singapore").otherwise(""), "title": F.when(own(29), "tba").otherwise(F.col("title")),
+        "start": F.when(~own(13), F.col("start_d").cast("timestamp_ntz")), "end": F.when(~own(13), F.col("end_d").cast("timestamp_ntz")),
+    })
+    rows = filters.settled(as_events(rows, "lid"), FIRST, LAST)
+    reason = filters.drop_reason(FIRST, LAST, ["Pune"], flags=())
+    return rows.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _tier_query(basis: str, price: str):
@@ -82,16 +90,30 @@ for _basis, _price in (("min", f"({LOW})"), ("max", f"({HIGH})"), ("avg", f"((({
 
 
 def _rule_sql(rules: classify.Rules, column: str) -> str:
-    return "case " + " ".join(f"when regexp_matches({column}, '(?i)(^|[^a-z0-9])({words.replace(chr(39), chr(39) * 2)})($|[^a-z0-9])') then '{label}'" for label, words in rules) + " end"
+    """A rule chain for an engine whose patterns cannot look around: what stands beside a word is matched with it."""
+    plain = lambda words: words.replace("(?<!martial )", "").replace(r"run(?=\s+20\d\d)", r"run\s+20\d\d").replace("'", "''")
+    return "case " + " ".join(f"when regexp_matches({column}, '(?i)(^|[^a-z0-9])({plain(words)})($|[^a-z0-9])') then '{label}'" for label, words in rules) + " end"
 
 
-PLAIN_RULES: classify.Rules = [("Theatre", "steel|plays?"), ("Art", "brushed|copper|arts?"), ("Music", "brass|tin|bands?"), ("F&B", "nickel|food"), ("Other", "promo|economy|sale")]
+TOPICS = ["Volleyball", "Certificate Course", "Odissi", "Stand-up", "Garba Nights", "Shooting Range", "City Run 2027", "Wine tasting", "Solo Show", "DJ set", "National Games", "Quiz", "World Tour", "Festival", "Nothing", "Oktoberfest", "Women's run", "Laugh Store"]
+TOPIC = f"concat(([{', '.join(repr(t) if chr(39) not in t else chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39) for t in TOPICS)}])[1 + p_partkey % {len(TOPICS)}], ' ', p_name)"
+KIND = "case p_size % 5 when 0 then 'Plays' when 1 then 'Sports' when 2 then 'Performances' else '' end"
+ABOUT = "case when p_size % 3 = 0 then 'An evening of kathak.' else 'It is on.' end"
 
 
-@query(f"select coalesce({_rule_sql(PLAIN_RULES, 'x')}, 'none') as activity, count(*) as n from (select concat(p_type, ' ', p_name) as x from part) p group by 1", over=None)
+@query(f"""
+select activity, count(*) as n from (
+  select case when weak <> 'Culture' and main is null and prior is null then weak else coalesce(prior, main, told, weak, 'Other') end as activity from (
+    select coalesce({_rule_sql(classify.PRIORITY_RULES, "concat(title, ' |  | ', kind)")}) as prior, coalesce({_rule_sql(classify.MAIN_RULES, "kind")}, {_rule_sql(classify.MAIN_RULES, "title")}) as main,
+      {_rule_sql(classify.WEAK_RULES, "concat(kind, ' | ', title)")} as weak, {_rule_sql(classify.MAIN_RULES, "about")} as told
+    from (select {TOPIC} as title, {KIND} as kind, {ABOUT} as about from part) p) r) a group by 1
+""", over=None)
 def activity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").withColumn("x", F.concat_ws(" ", "p_type", "p_name"))
-    return rows.groupBy(F.coalesce(classify.first_rule(F.col("x"), PLAIN_RULES), F.lit("none")).alias("activity")).agg(F.count(F.lit(1)).alias("n"))
+    """classify.activity with all its rules over titles, kinds and descriptions made of parts."""
+    topics = F.array(*map(F.lit, TOPICS))
+    title = F.concat_ws(" ", F.element_at(topics, (1 + F.col("p_partkey") % len(TOPICS)).cast("int")), "p_name")
+    rows = table(spark, sf_dir, "part").select(classify.activity(F.array(F.expr(KIND)), title, F.expr(ABOUT), F.lit("")).alias("activity"))
+    return rows.groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
 
 
 TIERS = ["Ultra Premium", "Luxury", "Premium", "Standard"]
@@ -114,14 +136,15 @@ def platform_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select concat(url, '|', city) as identity, count(*) as merged, arg_min(title, lid) as title, arg_min(end_d, lid) filter (where end_d is not null) as end_d,
-  arg_min(price_max, lid) filter (where price_max is not null) as price_max, bool_or(is_free) as is_free, count(distinct platform) as platforms
+select concat(url, '|', city) as identity, count(*) as merged, arg_min(title, lid) as title, arg_min(start_d, lid) as start_d, arg_min(price_min, lid) as price_min,
+  arg_min(price_max, lid) filter (where price_max is not null) as price_max, bool_or(is_free) as is_free, count(distinct platform) as platforms, count(distinct platform) as links
 from listings group by 1
 """)
 def identity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("lid"))).alias(c)
-    rows = listings(spark, sf_dir).groupBy(F.concat_ws("|", "url", "city").alias("identity"))
-    return rows.agg(F.count(F.lit(1)).alias("merged"), F.min_by("title", "lid").alias("title"), first("end_d"), first("price_max"), F.bool_or("is_free").alias("is_free"), F.count_distinct("platform").alias("platforms"))
+    """merge.merged, the fold of one event's rows, by url and city."""
+    rows = listings(spark, sf_dir).withColumns({"identity": F.concat_ws("|", "url", "city"), "start": F.col("start_d").cast("timestamp_ntz"), "platforms": F.array("platform"), "links": F.create_map("platform", "url"), "sources": F.array(F.col("lid").cast("string"))})
+    rows = merged(as_events(rows, "identity", "lid"), ["identity"], "lid")
+    return rows.select("identity", F.size("sources").cast("bigint").alias("merged"), "title", F.to_date("start").alias("start_d"), "price_min", "price_max", "is_free", F.size("platforms").cast("bigint").alias("platforms"), F.size("links").cast("bigint").alias("links"))
 
 
 STOP = ", ".join(f"'{w}'" for w in text.TITLE_STOP_WORDS)
@@ -140,7 +163,6 @@ p as (select a.city, a.title as a, b.title as b, len(list_intersect(a.k, b.k)) a
 select city, a, b from p where least(na, nb) > 0 and ((least(na, nb) >= 2 and shared = least(na, nb)) or shared * 1.0 / (na + nb - shared) >= 0.6)
 """)
 def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from almanack.operators import resolve
     from almanack.plans.steps import written
 
     rows = listings(spark, sf_dir).select("city", "title").distinct().withColumn("id", F.xxhash64("city", "title"))
@@ -152,14 +174,15 @@ def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, r as (select lid, city, title, start_d, end_d from listings where end_d is not null)
-select r.lid as run, s.lid as show from r join listings s on r.city = s.city and r.title = s.title and r.lid <> s.lid and s.start_d between r.start_d and r.end_d and r.end_d - r.start_d <= 120
+select r.lid as run, s.lid as show from listings r join listings s on r.city = s.city and r.title = s.title and r.lid < s.lid and (r.start_d = s.start_d or (s.start_d between r.start_d and coalesce(r.end_d, r.start_d)
+  and coalesce(r.end_d, r.start_d) - r.start_d <= 120) or (r.start_d between s.start_d and coalesce(s.end_d, s.start_d) and coalesce(s.end_d, s.start_d) - s.start_d <= 120))
 """)
 def run_contains_show(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resolve.dates_compatible between listings of one title and city: one first day, or a first day inside the other's run."""
     rows = listings(spark, sf_dir)
-    runs = rows.where(F.col("end_d").isNotNull()).select(F.col("lid").alias("run"), "city", "title", F.col("start_d").alias("a"), F.col("end_d").alias("b"))
-    shows = rows.select(F.col("lid").alias("show"), "city", "title", "start_d")
-    return runs.join(shows, ["city", "title"]).where((F.col("run") != F.col("show")) & F.col("start_d").between(F.col("a"), F.col("b")) & (F.datediff("b", "a") <= 120)).select("run", "show")
+    one = rows.select(F.col("lid").alias("run"), "city", "title", F.col("start_d").alias("a"), F.col("end_d").alias("b"))
+    other = rows.select(F.col("lid").alias("show"), "city", "title", F.col("start_d").alias("c"), F.col("end_d").alias("d"))
+    return one.join(other, ["city", "title"]).where((F.col("run") < F.col("show")) & resolve.dates_compatible(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).select("run", "show")
 
 
 @query("""
@@ -175,12 +198,12 @@ def master_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 , i as (select url, arg_max(start_d, lid) as added_on from listings where start_d < date '1996-01-01' group by url)
-select l.lid, i.added_on from listings l left join i on l.url = i.url where l.start_d >= date '1998-01-01'
+select l.lid, i.added_on from listings l left join i on l.url = i.url
 """)
 def first_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir)
     index = rows.where("start_d < date'1996-01-01'").select("url", F.col("start_d").alias("added_on"), F.col("lid").alias("seq"))
-    return tables.first_added(rows.where("start_d >= date'1998-01-01'"), index, "url").select("lid", "added_on")
+    return tables.first_added(rows, index, "url").select("lid", "added_on")
 
 
 @query("""
@@ -212,32 +235,18 @@ def top_details_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.nearest_first(rows, "platform", "d", 50, "lid").select("platform", "lid", "queue")
 
 
-@query("select lid, cast(1000 + row_number() over (order by city, start_d, lid) as bigint) as serial from listings where start_d >= date '1998-06-01'")
+@query("select lid, cast(1000 + row_number() over (order by city, start_d, lid) as bigint) as serial from listings")
 def serial_continue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).where("start_d >= date'1998-06-01'")
-    out = tables.serials(rows, [F.col("city"), F.col("start_d"), F.col("lid")], 1000, groups=F.regexp_extract("city", r"(\d+)$", 1).cast("int"))
-    return out.select("lid", F.col("serial").cast("bigint").alias("serial"))
+    return tables.serials(listings(spark, sf_dir), [F.col("city"), F.col("start_d"), F.col("lid")], 1000).select("lid", "serial")
 
 
-@query("select lid, city, coalesce(city <> lag(city) over (order by city, start_d, lid), true) as band, count(*) over (partition by city) as in_city from listings where start_d >= date '1998-06-01'")
+@query("select lid, city, coalesce(city <> lag(city) over (order by city, start_d, lid), true) as band, count(*) over (partition by city) as in_city from listings")
 def city_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).where("start_d >= date'1998-06-01'")
-    place = F.row_number().over(Window.partitionBy("city").orderBy("start_d", "lid"))
-    return rows.select("lid", "city", (place == 1).alias("band"), F.count(F.lit(1)).over(Window.partitionBy("city")).alias("in_city"))
+    return tables.bands(listings(spark, sf_dir), "city", ["start_d", "lid"]).select("lid", "city", "band", F.col("in_group").alias("in_city"))
 
 
-@query("select lid, cast(1000 + row_number() over (order by city, start_d, lid) as bigint) as serial from listings")
-def serial_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """serial_continue over every listing."""
-    out = tables.serials(listings(spark, sf_dir), [F.col("city"), F.col("start_d"), F.col("lid")], 1000, groups=F.regexp_extract("city", r"(\d+)$", 1).cast("int"))
-    return out.select("lid", F.col("serial").cast("bigint").alias("serial"))
-
-
-@query("select lid, city, coalesce(city <> lag(city) over (order by city, start_d, lid), true) as band, count(*) over (partition by city) as in_city from listings")
-def city_bands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """city_bands over every listing."""
-    place = F.row_number().over(Window.partitionBy("city").orderBy("start_d", "lid"))
-    return listings(spark, sf_dir).select("lid", "city", (place == 1).alias("band"), F.count(F.lit(1)).over(Window.partitionBy("city")).alias("in_city"))
+QUERIES |= {"serial_all": serial_continue, "city_bands_all": city_bands}  # their names of a round in which the first two read a part
+ORACLES |= {"serial_all": ORACLES["serial_continue"], "city_bands_all": ORACLES["city_bands"]}
 
 
 @query("""
@@ -283,18 +292,19 @@ select page_id, cast(pos as integer) as pos, href, trim(regexp_replace(regexp_re
 """, over=None)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    found = readers.links(pages.select("url", "html").dropDuplicates(["url"]))
-    return pages.select("page_id", F.col("url").alias("page")).join(found, "page").select("page_id", "pos", "href", "text", F.col("url").alias("target"))
+    return readers.links(pages, "page_id", F.col("url")).select(F.col("page").alias("page_id"), "pos", "href", "text", F.col("url").alias("target"))
 
 
 @query(f"select page_id, cast(len(list_distinct(regexp_extract_all(html, '{ANCHOR}', 1))) as bigint) as links from pages", over=None)
 def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    href = F.array_distinct(F.regexp_extract_all("html", F.lit(readers.ANCHOR), F.lit(1)))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(href).cast("bigint").alias("links"))
+    """Distinct links of a page, as the listing loader counts them."""
+    pages = table(spark, sf_dir, "pages")
+    found = readers.links(pages, "page_id", F.col("url")).groupBy("page").agg(F.count_distinct("href").alias("links"))
+    return pages.select("page_id").join(found.withColumnRenamed("page", "page_id"), "page_id", "left").select("page_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def _seen(x: str) -> str:
-    plain = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+def _seen(x: str, tags: bool = True) -> str:
+    plain = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')" if tags else f"regexp_replace({x}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')"
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
         plain = f"replace({plain}, '{name}', '{char}')"
     return f"trim(regexp_replace({plain}, '\\s+', ' ', 'g'))"
@@ -310,7 +320,7 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 with s as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
   '(?i)</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|main|title|dl|dt|dd|form|option)\\b[^>]*>', chr(10), 'g') as x from pages),
-l as (select page_id, list_filter(list_transform(string_split(x, chr(10)), lambda y: {_seen('y')}), lambda y: y <> '') as ls from s)
+l as (select page_id, list_filter(list_transform(string_split(x, chr(10)), lambda y: {_seen('y')}), lambda y: y <> '' and not regexp_matches(y, '{readers.NOISE}')) as ls from s)
 select page_id, cast(len(ls) as bigint) as lines, cast(list_sum(list_transform(ls, lambda y: length(y))) as bigint) as chars, ls[1] as first_line from l
 """, over=None)
 def page_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,32 +328,45 @@ def page_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("page").alias("page_id")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"), F.min_by("line", "pos").alias("first_line"))
 
 
-@query()
+@query("""
+with c as (select c_custkey as page, case c_custkey % 4 when 0 then 'Organised by' when 1 then concat('Hosted by ', c_name) when 2 then concat('Duration: ', cast(1 + c_nationkey as varchar), ' hours') else 'Languages -' end as line, c_name as next from customer)
+select page, case page % 4 when 2 then 'duration' when 3 then 'language' else 'organizer' end as fact, case page % 4 when 2 then replace(line, 'Duration: ', '') else next end as value from c
+""", over=None)
 def label_next_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.labelled_facts(readers.text_lines(table(spark, sf_dir, "pages"), "page_id"))
+    """Labelled facts of pages of three lines made of customers: a label, its value beside or below it, and a line that is none."""
+    line = F.expr("case c_custkey % 4 when 0 then 'Organised by' when 1 then concat('Hosted by ', c_name) when 2 then concat('Duration: ', 1 + c_nationkey, ' hours') else 'Languages -' end")
+    lines = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page"), F.posexplode(F.array(line, F.col("c_name"), F.lit("and no label"))).alias("pos", "line"))
+    return readers.labelled_facts(lines)
 
 
-ROBOTS = [("/", True), ("/en/", False), ("/en/1*", True), ("/*.html$", False), ("/fr/", False)]
+#: Robots files of hosts under .net and of the others; the first has a group for this agent beside the one for any.
+ROBOTS_NET = "# made up\nUser-agent: otherbot\nUser-agent: *\nDisallow: /\n\nUser-agent: Almanack\nAllow: /\nDisallow: /en/\nAllow: /en/1*   # but these\nDisallow: /*.html$\nDisallow: /fr/\nDisallow:\n"
+ROBOTS_ANY = "Disallow: /nobody\nUser-agent: *\nCrawl-delay: 5\nDisallow: /es/\nAllow: /es/\nDisallow: /de/\n"
 
 
 @query(r"""
-with r(rule, rx, allow) as (values ('/', '^/', true), ('/en/', '^/en/', false), ('/en/1*', '^/en/1.*', true), ('/*.html$', '^/.*\.html$', false), ('/fr/', '^/fr/', false)),
-p as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path from pages),
-m as (select page_id, arg_max(allow, length(rule) * 2 + cast(allow as integer)) as allow from p join r on regexp_matches(path, rx) group by page_id)
-select p.page_id, p.path, coalesce(m.allow, true) as allowed from p left join m on p.page_id = m.page_id
+with r(kind, rule, rx, allow) as (values ('net', '/', '^/', true), ('net', '/en/', '^/en/', false), ('net', '/en/1*', '^/en/1.*', true), ('net', '/*.html$', '^/.*\.html$', false), ('net', '/fr/', '^/fr/', false),
+  ('any', '/es/', '^/es/', false), ('any', '/es/', '^/es/', true), ('any', '/de/', '^/de/', false)),
+p as (select page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) as host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path from pages),
+m as (select page_id, arg_max(allow, length(rule) * 2 + cast(allow as integer)) as allow from p join r on kind = case when host like '%.net' then 'net' else 'any' end and regexp_matches(path, rx) group by page_id)
+select p.page_id, p.host, p.path, coalesce(m.allow, true) as allowed from p left join m on p.page_id = m.page_id
 """, over=None)
 def robots_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
-    return tables.robots(rows, spark.createDataFrame(ROBOTS, "rule string, allow boolean"))
+    """Robots files read for one agent, and their rules met with pages by host."""
+    rows = table(spark, sf_dir, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"), F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    files = rows.select("host").distinct().withColumn("text", F.when(F.endswith("host", F.lit(".net")), ROBOTS_NET).otherwise(ROBOTS_ANY))
+    return tables.robots(rows, tables.robots_rules(files, "almanack/0.2"))
 
 
 @query("""
-select page_id, page_id % 17 = 0 or regexp_matches(substr(html, 1, 60000), '(?i)access denied|unusual traffic') or (page_id % 5 = 0 and length(html) < 25000 and regexp_matches(substr(html, 1, 60000), '(?i)captcha|forbidden|blocked|too many requests|rate limit'))
-  or (length(html) < 8000 and regexp_matches(substr(html, 1, 60000), '(?i)just a moment|checking your browser')) as blocked from pages
+with p as (select page_id, case when page_id % 17 = 0 then 403 when page_id % 5 = 0 then 500 else 200 end as status, concat(html, case page_id % 7 when 1 then 'window._cf_chl_opt={}' when 2 then 'Access DENIED' when 3 then 'Just a moment...' when 4 then 'on captchas, blocked' else '' end) as body from pages)
+select page_id, status = 403 or (page_id % 7 = 1 and length(body) <= 60000) or (status >= 400 and length(body) < 25000 and page_id % 7 in (2, 3)) or (status < 400 and length(body) < 8000 and page_id % 7 = 3) as blocked from p
 """, over=None)
 def blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with marks of refusal put into pages of their own."""
     status = F.when(F.col("page_id") % 17 == 0, 403).when(F.col("page_id") % 5 == 0, 500).otherwise(200)
-    return table(spark, sf_dir, "pages").select("page_id", tables.looks_blocked(status, F.col("html")).alias("blocked"))
+    mark = F.expr("case page_id % 7 when 1 then 'window._cf_chl_opt={}' when 2 then 'Access DENIED' when 3 then 'Just a moment...' when 4 then 'on captchas, blocked' else '' end")
+    return table(spark, sf_dir, "pages").select("page_id", tables.looks_blocked(status, F.concat("html", mark)).alias("blocked"))
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, cast(coalesce(json_extract_string(props, '$.name'), json_extract_string(props, '$.k'), '') as varchar) as label from events", over=None)
@@ -376,34 +399,48 @@ def price_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("lid", money.format_inr(F.col("price_min") * 100).alias("inr"), money.format_price_range(F.col("price_min"), F.col("price_max"), F.col("is_free")).alias("price_range"))
 
 
-@query("select o_orderkey, cast(o_orderdate as timestamp) as start, false as has_time from orders", over=None)
+@query("""
+select o_orderkey, case when o_orderkey % 8 = 5 then d + cast((case when strftime(d, '%m%d') >= '0603' then 1996 else 1997 end - year(d)) as integer) * interval 1 year else d end
+  + case when o_orderkey % 8 in (3, 4) then interval '19 hours 30 minutes' when o_orderkey % 8 = 7 then interval '5 hours 30 minutes' else interval 0 hour end as start, o_orderkey % 8 in (3, 4, 7) as has_time
+from (select o_orderkey, cast(case when o_orderkey % 8 = 5 and strftime(o_orderdate, '%m%d') = '0229' then date '1996-02-28' else o_orderdate end as timestamp) as d from orders) o
+""", over=None)
 def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % 3
-    told = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "d MMM yyyy")).otherwise(F.date_format("o_orderdate", "EEE, MMMM d, yyyy"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", dates.date_range(told, dt.date(1996, 1, 1)).alias("d"))
+    """Order dates written in eight ways: ISO, with month names, weekdays, ordinals and clocks, without a year (the next one from 1996-07-18 on, less 45 days), by numbers and with a zone."""
+    d = F.when((F.col("o_orderkey") % 8 == 5) & (F.date_format("o_orderdate", "MMdd") == "0229"), F.lit(dt.date(1996, 2, 28))).otherwise(F.col("o_orderdate").cast("date"))
+    said = lambda form: F.date_format(d, form)
+    day = F.dayofmonth(d)
+    ordinal = F.concat(day.cast("string"), F.when(day.isin(1, 21, 31), "st").when(day.isin(2, 22), "nd").when(day.isin(3, 23), "rd").otherwise("th"))
+    k = F.col("o_orderkey") % 8
+    told = (
+        F.when(k == 0, said("yyyy-MM-dd")).when(k == 1, said("d MMM yyyy")).when(k == 2, said("EEE, MMMM d, yyyy")).when(k == 3, F.concat(said("EEEE, MMM d yyyy"), F.lit(" at 7:30 PM")))
+        .when(k == 4, F.concat(ordinal, F.lit(" "), said("MMMM yyyy"), F.lit(" | 19:30 | Call +91 98200 12345"))).when(k == 5, F.concat(said("EEE, d MMM"), F.lit(" onwards"))).when(k == 6, said("d/M/yyyy")).otherwise(F.concat(said("yyyy-MM-dd"), F.lit("T00:00:00Z")))
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", dates.date_range(told, dt.date(1996, 7, 18)).alias("d"))
     return rows.select("o_orderkey", "d.start", "d.has_time")
 
 
 def _told_ranges(orders: DataFrame) -> DataFrame:
-    told = F.concat_ws(" - ", F.date_format("o_orderdate", "EEE, d MMM yyyy"), F.date_format(F.date_add("o_orderdate", 3), "d MMM yyyy"))
+    last = F.date_add("o_orderdate", 3)
+    k = F.col("o_orderkey") % 4
+    told = (
+        F.when(k == 0, F.concat_ws(" - ", F.date_format("o_orderdate", "EEE, d MMM yyyy"), F.date_format(last, "d MMM yyyy"))).when(k == 1, F.concat_ws(" to ", F.date_format("o_orderdate", "MMMM d"), F.date_format(last, "MMMM d, yyyy")))
+        .when(k == 2, F.concat_ws("-", F.dayofmonth("o_orderdate"), F.date_format(last, "d MMM yyyy"))).otherwise(F.concat_ws("–", F.date_format("o_orderdate", "d/M/yyyy"), F.date_format(last, "d/M/yyyy")))
+    )
     rows = orders.select("o_orderkey", dates.date_range(told, dt.date(1996, 1, 1)).alias("d"))
     return rows.select("o_orderkey", "d.start", "d.end")
 
 
-@query("select o_orderkey, cast(o_orderdate as timestamp) as start, cast(o_orderdate as timestamp) + interval 3 day as \"end\" from orders where o_orderkey % 50 = 0", over=None)
+@query("select o_orderkey, cast(o_orderdate as timestamp) as start, cast(o_orderdate as timestamp) + interval 3 day as \"end\" from orders", over=None)
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told_ranges(table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+    return _told_ranges(table(spark, sf_dir, "orders"))
 
 
-@query("select o_orderkey, cast(o_orderdate as timestamp) as start, cast(o_orderdate as timestamp) + interval 3 day as \"end\" from orders", over=None)
-def date_range_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date_range over every order."""
-    return _told_ranges(table(spark, sf_dir, "orders"))
+QUERIES["date_range_all"], ORACLES["date_range_all"] = date_range, ORACLES["date_range"]
 
 
-@query(r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as clean, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) as n from documents", over=None)
+@query(f"select doc_id, {_seen('coalesce(text, chr(0))', tags=False)} as clean, length({_seen('coalesce(text, chr(0))', tags=False)}) as n from documents", over=None)
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = text.squash(F.col("text"))
+    c = text.clean_text(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", c.alias("clean"), F.length(c).cast("bigint").alias("n"))
 
 
@@ -437,11 +474,8 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select lid, case when end_d < start_d then null when end_d - start_d > 31 then null else end_d end as end_d, coalesce(end_d - start_d <= 31, true) as end_known from listings")
 def settle_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from almanack.operators.filters import settled
-    from almanack.schema import as_events
-
     rows = as_events(listings(spark, sf_dir).withColumns({"start": F.col("start_d").cast("timestamp_ntz"), "end": F.col("end_d").cast("timestamp_ntz")}), "lid")
-    return settled(rows, dt.date(1990, 1, 1), dt.date(2000, 1, 1)).select("lid", F.to_date("end").alias("end_d"), "end_known")
+    return filters.settled(rows, dt.date(1990, 1, 1), dt.date(2000, 1, 1)).select("lid", F.to_date("end").alias("end_d"), "end_known")
 
 
 CITY_TEXT = "concat('Hall ', c_custkey, ', ', case c_nationkey % 5 when 0 then 'Andheri West, Mumbai' when 1 then 'Mumbai Masala, Koregaon Park, Pune' when 2 then 'Salt Lake' when 3 then 'Hyderabad' else 'Delhi Road, Bangalore' end)"
@@ -456,10 +490,9 @@ def city_of_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def resolve_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings of one day's window resolved by the exact greedy fold; a fold in order is not SQL, so tests hold it against a plain one."""
-    from almanack.operators.resolve import leads
     from almanack.plans.pipeline import listing_events
 
-    return leads(listing_events(spark, sf_dir)).groupBy("lead").agg(F.count(F.lit(1)).alias("rows"))
+    return resolve.leads(listing_events(spark, sf_dir)).groupBy("lead").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query()

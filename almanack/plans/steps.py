@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir (a temporary folder only where that is unset): lineage ends, and a lost executor costs one task."""
+    """df as a Parquet table under spark.checkpoint.dir: lineage ends, and a lost executor costs one task. Where that is unset, a temporary folder on a single machine, and an error on a cluster."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not (master := spark.conf.get("spark.master", "")).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="almanack-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import json
-import re
+import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from almanack.functions import money, urls
-from almanack.functions.text import clean_text, squash, title_from_url
+from almanack.functions import dates, money, urls
+from almanack.functions.text import clean_text, clean_title, title_from_url
+from almanack.schema import as_events
 
 ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-LD_SCRIPT = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
-STATE_SCRIPT = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']application/json[\"'][^>]*>(.*?)</script>"
 BLOCK = r"(?i)</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|main|title|dl|dt|dd|form|option)\b[^>]*>"
 SILENT = r"(?is)<(script|style|noscript|template|svg)\b.*?</\1\s*>|<!--.*?-->"
 
@@ -23,11 +21,12 @@ def inner_text(c: Column) -> Column:
     return clean_text(F.regexp_replace(c, r"(?s)<[^>]*>", " "))
 
 
-def links(pages: DataFrame, page: str = "url") -> DataFrame:
-    """(page, pos, href, text, url): anchors in page order with absolute addresses."""
+def links(pages: DataFrame, page: str = "url", base: Column | None = None) -> DataFrame:
+    """(page, pos, href, text, url): anchors in page order with absolute addresses, seen from `base`, else from the page column."""
     href, text = (F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
-    rows = pages.select(F.col(page).alias("page"), F.posexplode(F.arrays_zip(href.alias("href"), text.alias("text"))).alias("pos", "a"))
-    return rows.select("page", "pos", clean_text(F.col("a.href")).alias("href"), inner_text(F.col("a.text")).alias("text")).withColumn("url", urls.absolute_url(F.col("page"), F.col("href")))
+    rows = pages.select(F.col(page).alias("page"), (F.col(page) if base is None else base).alias("base"), F.posexplode(F.arrays_zip(href.alias("href"), text.alias("text"))).alias("pos", "a"))
+    rows = rows.select("page", "base", "pos", clean_text(F.col("a.href")).alias("href"), inner_text(F.col("a.text")).alias("text"))
+    return rows.withColumn("url", urls.absolute_url(F.col("base"), F.col("href"))).drop("base")
 
 
 def heads(pages: DataFrame, *keep: str) -> DataFrame:
@@ -44,187 +43,178 @@ def heads(pages: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+#: Lines that speak to browsers.
+NOISE = r"(?i)enable javascript|javascript is (?:disabled|required)|your browser"
+
+
 def text_lines(pages: DataFrame, page: str = "url") -> DataFrame:
     """(page, pos, line): the visible lines of a page."""
     seen = F.regexp_replace(F.regexp_replace("html", SILENT, " "), BLOCK, "\n")
-    lines = F.filter(F.transform(F.split(seen, "\n"), inner_text), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(seen, "\n"), inner_text), lambda x: (x != "") & ~x.rlike(NOISE))
     return pages.select(F.col(page).alias("page"), F.posexplode(lines).alias("pos", "line"))
 
 
-#: Labels of facts on event pages.
+#: Labels of facts on event pages, lines that name an organiser outright, values that are none, and how deadlines are announced.
 LABELS = {
-    "organizer": r"organi[sz]ed by|organi[sz]ers?|hosted by|presented by",
+    "organizer": r"organi[sz]ed\s+by|organi[sz]ers?|event\s+organi[sz]er|presented\s+by|hosted\s+by|promoted\s+by|produced\s+by|curated\s+by|brought\s+to\s+you\s+by|host(?:ed)?\s+by",
     "language": r"languages?",
-    "duration": r"duration|running time",
-    "age_limit": r"age limit|age restriction|age group|ages?",
-    "genre": r"genres?|category",
-    "venue": r"venue|location",
+    "duration": r"duration|run\s*time|show\s+duration",
+    "age_limit": r"age\s+limit|age\s+restriction|age\s+group|ages|suitable\s+for|entry\s+age|age",
+    "genre": r"genres?|category|event\s+type",
+    "venue": r"venue",
 }
+NAMED_BY = r"(?i)^\s*(?:organi[sz]ed|presented|hosted|promoted|produced|curated)\s+by\s+(.{2,80})$"
+NO_FACT = r"(?i)^(?:view|know|read|see|show|follow|more|click|book|share|less)\b|₹|https?://"
+DEADLINES = [
+    r"\b(?:registrations?|entries|enrol?l?ments?|bookings?|rsvps?|ticket sales|sales|applications?)\s+(?:will\s+)?(?:close|closes|closing|end|ends|ending|shut|shuts)\s*(?:on|by|at)?\s*[:\-–]?\s*(.{4,60})",
+    r"\b(?:last|final)\s+date\s+(?:to|for|of)\s+(?:register|registration|registrations|apply|application|booking|book|enrol\w*|submission|entry|entries)\s*(?:is|:|\-|–)?\s*(.{4,60})",
+    r"\b(?:register|book|rsvp|apply|enrol\w*|sign up)\s+(?:before|by|latest by|no later than|on or before)\s*:?\s*(.{4,60})",
+    r"\b(?:registration|booking|rsvp|application)\s+deadline\s*(?:is|:|\-|–)?\s*(.{4,60})",
+]
+#: Languages, and how ages, durations and prices are written on a line of facts.
+LANGUAGES = [
+    "hindi", "english", "marathi", "gujarati", "bengali", "bangla", "tamil", "telugu", "kannada", "malayalam", "punjabi", "urdu", "hinglish", "sanskrit", "konkani", "odia", "assamese", "multi-language", "multilingual", "french",
+    "spanish", "japanese", "korean",
+]
+AGE = r"(?i)^(?:\d{1,2}\s*(?:yrs?|years?)?\s*\+|\d{1,2}\s*\+\s*(?:yrs?|years?)?|all ages?(?: groups?)?|(?:u|ua|a)\s*\d*\+?|\d{1,2}\s*-\s*\d{1,2}\s*(?:yrs?|years?))$"
+SPAN = r"(?i)^\d+\s*(?:hrs?|hours?|h)(?:\s*\d+\s*(?:mins?|minutes?|m))?$|^\d+\s*(?:mins?|minutes?)$"
+BOX_PRICE = r"(?i)(?:₹|rs\.?\s|inr\s)\s*\d[\d,]*(?:\.\d+)?(?:\s*(?:-|–|to)\s*(?:₹|rs\.?\s|inr\s)?\s*\d[\d,]*)?(?:\s*(?:onwards|\+))?"
 
 
 def labelled_facts(lines: DataFrame) -> DataFrame:
-    """(page, fact, value): the first value of each label, on its line after a colon or on the next line; short lines only, and the first 4000."""
-    near = lines.where("pos < 4000").withColumn("next", F.lead("line").over(Window.partitionBy("page").orderBy("pos")))
-    found = None
-    for fact, words in LABELS.items():
-        same, alone = F.regexp_extract("line", rf"(?i)^(?:{words})\s*[:\-–]\s*(.{{2,80}})$", 1), F.col("line").rlike(rf"(?i)^(?:{words})\s*:?$")
-        value = F.when(same != "", same).when(alone & F.length("next").between(2, 80), F.col("next"))
-        rows = near.where(F.length("line") <= 120).select("page", "pos", F.lit(fact).alias("fact"), F.trim(value).alias("value")).where(value.isNotNull())
-        found = rows if found is None else found.unionByName(rows)
-    return found.groupBy("page", "fact").agg(F.min_by("value", "pos").alias("value"))
-
-
-def pipe_facts(lines: DataFrame) -> DataFrame:
-    """(page, facts): the first line of two to six tokens between pipes of which one is a language, an age or a duration."""
-    tokens = F.transform(F.split("line", r"\|"), lambda p: F.trim(p))
-    hit = F.exists(tokens, lambda t: t.rlike(r"(?i)^(?:english|hindi|marathi|tamil|kannada|bengali|gujarati|telugu|malayalam|punjabi)$|^\d{1,2}\s?\+|^\d+\s?(?:hrs?|hours?|mins?|minutes?)\b"))
-    good = lines.where(F.contains("line", F.lit("|"))).withColumn("facts", tokens).where(F.size("facts").between(2, 6) & hit)
-    return good.groupBy("page").agg(F.min_by("facts", "pos").alias("facts"))
+    """(page, fact, value): the first value of each label, on its line after a colon or dash or on the next line; lines up to 120 characters, the first 4000 of a page."""
+    near = lines.where("pos < 4000").withColumn("next", F.lead("line").over(Window.partitionBy("page").orderBy("pos"))).where(F.length("line") <= 120)
+    edge = lambda c: F.regexp_replace(c, r"^[ :\-–|]+|[ :\-–|]+$", "")
+    any_label = "(?i)^\\s*(?:" + "|".join(LABELS.values()) + r")\s*(?:[:\-–|].*)?$"
+    by = F.regexp_extract("line", NAMED_BY, 1)
+    fact, value = F.when((by != "") & ~by.rlike(NO_FACT), "organizer"), F.when((by != "") & ~by.rlike(NO_FACT), edge(by))
+    for name, words in LABELS.items():
+        rx = rf"(?i)^\s*(?:{words})\s*(?:[:\-–|]\s*(.*))?$"
+        here = F.col("line").rlike(rx)
+        own = edge(F.regexp_extract("line", rx, 1))
+        fact, value = fact.when(here, name), value.when(here, F.when(own != "", own).otherwise(edge(F.coalesce("next", F.lit("")))))
+    rows = near.select("page", "pos", fact.alias("fact"), value.alias("value")).where(F.col("fact").isNotNull() & F.length("value").between(2, 80) & ~F.col("value").rlike(NO_FACT) & ~F.col("value").rlike(any_label))
+    return rows.groupBy("page", "fact").agg(F.min_by("value", "pos").alias("value"))
+
+
+def pipe_facts(lines: DataFrame, most: int = 120) -> DataFrame:
+    """(page, language, age_limit, duration, categories) of the first line of two to six short texts between bars of which one is a language, an age or a duration, and
+    another says more."""
+    tokens = F.filter(F.transform(F.split("line", r"\|"), lambda p: F.trim(p)), lambda p: p != "")
+    words = lambda t: F.filter(F.transform(F.split(F.lower(t), "[,/&]"), lambda w: F.trim(w)), lambda w: w != "")
+    tongue = lambda t: (F.size(words(t)) > 0) & (F.size(F.array_except(words(t), F.array(*map(F.lit, LANGUAGES)))) == 0)
+    kind = lambda t: F.when(tongue(t), "language").when(t.rlike(AGE), "age_limit").when(t.rlike(SPAN), "duration").when((F.length(t) <= 40) & ~t.rlike(r"\d{4}|₹|:"), "category")
+    told = lines.where((F.col("pos") < most) & F.contains("line", F.lit("|")) & (F.length("line") <= 160) & ~F.contains("line", F.lit("₹")))
+    told = told.withColumn("t", F.transform(tokens, lambda t: F.struct(t.alias("t"), kind(t).alias("k")))).where(F.size("t").between(2, 6))
+    hits = F.size(F.filter("t", lambda x: x.k.isin("language", "age_limit", "duration")))
+    told = told.where((hits >= 1) & ((hits >= 2) | F.exists("t", lambda x: x.k == "category")))
+    first = told.groupBy("page").agg(F.min_by("t", "pos").alias("t"))
+    last = lambda k: F.coalesce(F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter("t", lambda x: x.k == k), lambda x: x.t)), -1), F.lit("")).alias(k)
+    return first.select("page", last("language"), last("age_limit"), last("duration"), F.transform(F.filter("t", lambda x: x.k == "category"), lambda x: x.t).alias("categories"))
 
 
 def page_price(lines: DataFrame) -> DataFrame:
     """(page, price_min, price_max, is_free) of the first line in the first 150 that speaks of a ticket's price, else of free entry."""
-    near = lines.where("pos < 150").withColumn("p", money.price_of_text(F.col("line")))
-    told = F.col("line").rlike(r"(?i)onwards|starting|from|price|ticket") & (F.col("p.price_min") > 0)
-    free = F.col("line").rlike(r"(?i)^(?:entry\s*:?\s*)?free(?: entry| event)?$")
-    best = near.where(told | free).groupBy("page").agg(F.min_by("p", F.struct(~told, "pos")).alias("p"))
-    return best.select("page", "p.*")
+    near = lines.where("pos < 150")
+    box = F.regexp_extract("line", BOX_PRICE, 0)
+    told = F.col("line").rlike(r"(?i)\b(?:onwards|starting|from|price|tickets?)\b") & (box != "")
+    free = F.col("line").rlike(r"(?i)^(?:price\s*:?\s*)?free(?:\s+entry)?$")
+    best = near.where(told | free).groupBy("page").agg(F.min_by(F.when(told, box).otherwise("free"), F.struct(~told, "pos")).alias("box"))
+    return best.select("page", money.price_of_text(F.col("box")).alias("p")).select("page", "p.*")
 
 
-def distinct_event_links(found: DataFrame, pattern: str, exclude: str | None = None) -> DataFrame:
+def register_by(lines: DataFrame, ref: dt.date) -> DataFrame:
+    """(page, register_by): the first announced deadline with a real date, in the first 500 lines of up to 300 characters."""
+    near = lines.where((F.col("pos") < 500) & (F.length("line") <= 300))
+    told = F.filter(F.array(*(F.regexp_extract("line", f"(?i){rx}", 1) for rx in DEADLINES)), lambda t: t.rlike(r"\d"))
+    rows = near.select("page", "pos", told.alias("told")).where(F.size("told") > 0)
+    rows = rows.select("page", "pos", dates.first_dated(F.transform("told", lambda t: F.array(t)), ref)["start"].alias("by")).where("by is not null")
+    return rows.groupBy("page").agg(F.min_by("by", "pos").alias("register_by"))
+
+
+def distinct_event_links(found: DataFrame, event: Callable[[Column], Column]) -> DataFrame:
     """(page, url, text, title): the first link to each event address, its title from the text or else from the address."""
-    rows = found.where(F.col("url").rlike(pattern)) if exclude is None else found.where(F.col("url").rlike(pattern) & ~F.col("url").rlike(exclude))
-    rows = rows.withColumn("url", urls.canonical_url(F.col("url")))
+    rows = found.withColumn("url", urls.canonical_url(F.col("url"))).where(event(F.col("url")))
     one = rows.groupBy("page", "url").agg(F.coalesce(F.min_by(F.nullif("text", F.lit("")), F.when(F.col("text") != "", F.col("pos"))), F.lit("")).alias("text"), F.min("pos").alias("pos"))
     return one.withColumn("title", F.when(F.length("text") >= 2, F.col("text")).otherwise(title_from_url(F.col("url"))))
 
 
+#: Words in paths that lead to no event, and words that lead to one.
+NO_EVENT_PATH = (
+    r"(?i)about|contact|career|membership|member|donat|login|log-in|sign|register|privacy|terms|faq|gallery|press|media|news|blog|shop|store|visit|hire|rental|venue|team|policy|support|subscribe|newsletter|"
+    r"facebook|instagram|twitter|youtube|linkedin|whatsapp|cart|account|search|archive|past|history"
+)
+EVENT_PATH = r"(?i)event|programme|program|show|play|performance|concert|whats-on|calendar|festival|exhibition|screening|recital|talk|workshop"
+
+
 def guessed_event_links(found: DataFrame, most: int = 40) -> DataFrame:
-    """Links of one host that look like events where no pattern is known: deep paths, speaking texts, the first `most` of a page."""
+    """(page, url, pos, title): links of the page's own host that look like events where no pattern is known: two path parts or more, a speaking path, a text of 4 to 120 characters; the first
+    `most` of a page."""
+    rows = found.withColumn("url", urls.canonical_url(F.col("url"))).where((F.col("url") != "") & (F.col("url") != urls.canonical_url(F.col("page"))))
     own = urls.host_of(F.col("url")) == urls.host_of(F.col("page"))
-    deep = F.size(urls.path_segments(F.col("url"))) >= 2
-    said = F.length("text").between(4, 120) & ~F.col("text").rlike(r"(?i)^(?:home|about|contact|login|sign (?:in|up)|privacy|terms|menu|search|more|next|previous)\b")
-    rows = found.where(own & deep & said & F.col("url").rlike(r"(?i)/(?:events?|shows?|programmes?|whats-on|calendar|performances?|exhibitions?|tickets?)(?:/|$)"))
+    path = F.array_join(urls.path_segments(F.col("url")), "/")
+    rows = rows.where(own & (F.size(urls.path_segments(F.col("url"))) >= 2) & F.length("text").between(4, 120) & ~path.rlike(NO_EVENT_PATH) & path.rlike(EVENT_PATH))
     first = rows.groupBy("page", "url").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("title"))
     return first.withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy("pos"))).where(F.col("r") <= most).drop("r")
 
 
-def lenient_json(raw: Column) -> Column:
-    """JSON as sites write it: comments and CDATA marks around it, raw newlines in strings and trailing commas are mended."""
-    bare = F.regexp_replace(raw, r"(?s)^\s*(?:<!--|/\*.*?\*/|//\s*<!\[CDATA\[|<!\[CDATA\[)|(?:-->|//\s*\]\]>|\]\]>)\s*;?\s*$", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"[\r\n\t]+", " "), r",\s*([}\]])", "$1")
-
-
-def json_blocks(pages: DataFrame, page: str = "url") -> DataFrame:
-    """(page, kind, pos, json): JSON-LD scripts (kind ld), application/json scripts (state) and objects assigned to window fields (window)."""
-    assigned = r"(?s)\bwindow\.[A-Za-z_$][\w$.]*\s*=\s*(\{.*?\})\s*;?\s*(?:</script>|window\.)"
-    rows = None
-    for kind, rx in (("ld", LD_SCRIPT), ("state", STATE_SCRIPT), ("window", assigned)):
-        own = pages.select(F.col(page).alias("page"), F.lit(kind).alias("kind"), F.posexplode(F.regexp_extract_all("html", F.lit(rx), F.lit(1))).alias("pos", "json"))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows.withColumn("json", lenient_json(F.col("json")))
-
-
-#: Names under which sites keep a title, a date, an address and an id.
-NAMES = {"title": "name title eventname event_name headline".split(), "start": "startdate start_date starttime start_time eventdate date displaydate".split(), "url": "url link slug permalink href".split(), "id": "id eventcode event_id eventid code".split()}
-
-
-@F.udtf(returnType=T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("event", T.StringType())]))
-class EventObjects:
-    """Event-shaped objects of a JSON text in depth-first order: they have a title of 2 to 200 characters and an address, an id or a date. The walk does not go into a
-    found object, and ends at depth 40 or after 300,000 nodes."""
-
-    def eval(self, text: str):
-        try:
-            stack = [(json.loads(text), 0)]
-        except (ValueError, TypeError, RecursionError):
-            return
-        seen = found = 0
-        while stack and seen < 300_000:
-            node, depth = stack.pop()
-            seen += 1
-            if depth > 40:
-                return
-            if isinstance(node, dict):
-                low = {k.lower(): v for k, v in node.items() if v not in (None, "", [], {})}
-                has = {k: next((low[n] for n in names if n in low), None) for k, names in NAMES.items()}
-                if isinstance(has["title"], str) and 2 <= len(has["title"].strip()) <= 200 and (has["start"] or (has["url"] or has["id"]) and "type" in "".join(low)) and not re.search(r"organization|person|place|breadcrumb|website", str(low.get("@type", "")).lower()):
-                    yield found, json.dumps(node)
-                    found += 1
-                    continue
-                stack += [(v, depth + 1) for v in reversed(list(node.values())) if isinstance(v, (dict, list))]
-            elif isinstance(node, list):
-                stack += [(v, depth + 1) for v in reversed(node) if isinstance(v, (dict, list))]
-
-
-def events_in_json(blocks: DataFrame) -> DataFrame:
-    """(page, kind, pos, ord, event): event objects of all blocks."""
-    blocks.sparkSession.udtf.register("almanack_event_objects", EventObjects)
-    return blocks.sparkSession.sql("select b.page, b.kind, b.pos, e.ord, e.event from {b} b, lateral almanack_event_objects(b.json) e", b=blocks)
-
-
-def _path(*paths: str) -> Column:
-    return F.coalesce(*(F.nullif(F.get_json_object("event", p), F.lit("")) for p in paths), F.lit(""))
-
-
-def projected(events: DataFrame) -> DataFrame:
-    """Event objects as listing columns, the spellings of a field in order of preference. Dates stay text for functions.dates."""
-    offers = F.coalesce(F.from_json(F.get_json_object("event", "$.offers"), "array<struct<price: string, lowPrice: string, highPrice: string, availability: string>>"), F.array())
-    numbers = F.filter(F.flatten(F.transform(offers, lambda o: F.array(o.price, o.lowPrice, o.highPrice))), lambda v: v.isNotNull())
-    price = money.price_of_values(F.transform(numbers, lambda v: F.try_to_number(F.regexp_replace(v, "[^0-9.]", ""), F.lit("999999999.99")).cast("double")))
-    told = money.price_of_text(_path("$.price", "$.priceDisplayString", "$.minPrice"), bare=True)
-    out = events.select(
-        *(c for c in events.columns if c != "event"),
-        squash(clean_text(_path("$.name", "$.title", "$.eventName", "$.headline"))).alias("title"), _path("$.url", "$.link", "$.permalink").alias("url"), _path("$.eventCode", "$.id", "$.event_id").alias("source_id"),
-        _path("$.startDate", "$.startTime", "$.eventDate", "$.displayDate", "$.date").alias("start_text"), _path("$.endDate", "$.endTime").alias("end_text"),
-        clean_text(_path("$.location.name", "$.venue.name", "$.venue.venueName", "$.venueName")).alias("venue"),
-        clean_text(F.concat_ws(", ", *(F.nullif(F.get_json_object("event", f"$.location.address.{k}"), F.lit("")) for k in ("streetAddress", "addressLocality", "addressRegion")), F.nullif(F.get_json_object("event", "$.venue.address"), F.lit("")))).alias("address"),
-        clean_text(_path("$.organizer.name", "$.organizer[0].name", "$.organiserName")).alias("organizer"), clean_text(_path("$.description")).alias("description"), _path("$.inLanguage", "$.language").alias("language"),
-        _path("$.category", "$.genre").alias("category"), F.regexp_extract(_path("$.eventStatus"), r"Event(Cancelled|Postponed|Rescheduled|MovedOnline)", 1).alias("status"), F.coalesce(_path("$.eventAttendanceMode").rlike("Online"), F.lit(False)).alias("online"),
-        F.when(F.size(numbers) > 0, price).otherwise(told).alias("p"),
-        ((F.size(offers) > 0) & F.forall(offers, lambda o: F.coalesce(o.availability.rlike("SoldOut"), F.lit(False)))).alias("sold_out"),
-    )
-    return out.select("*", "p.*").drop("p")
-
-
-RSC_PUSH = r"(?s)self\.__next_f\.push\(\[1,\s*(\"(?:[^\"\\]|\\.)*\")\]\)"
+#: Words on a card that are no title, and labels of kinds of events.
+BADGES = (
+    r"(?i)^(?:book(?:\s+now)?|buy(?:\s+now)?|selling fast|fast filling|filling fast|new|featured|sponsored|promoted|sold out|trending|popular|bestseller|best seller|limited seats|few seats left|exclusive|premiere|view details|know more|interested|going|online|"
+    r"\d+% off|offer|save|share|\+\d+ more)$"
+)
+KINDS = [
+    "comedy", "comedy shows", "stand up", "stand-up", "standup", "music", "music shows", "concerts", "concert", "gigs", "workshops", "workshop", "theatre", "theater", "plays", "kids", "food & drinks", "food and drinks", "food", "nightlife",
+    "parties", "party", "exhibitions", "exhibition", "art", "arts", "sports", "performances", "spirituality", "talks", "meetups", "screenings", "screening", "adventure", "fitness", "festivals", "festival", "dance", "open mic", "poetry",
+    "storytelling", "fests & fairs", "social mixers", "conferences", "awards", "holi", "new year", "garba", "experiences", "tours", "classical", "bollywood", "edm", "techno", "hip hop", "jazz", "rock",
+]
+DATED = r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\b|\btoday\b|\btomorrow\b|\btonight\b|\b\d{1,2}/\d{1,2}(?:/\d{2,4})?\b"
+PRICED = r"(?i)₹|\brs\.?\s*\d|\binr\b|\bonwards\b|^free$"
 
 
-def rsc_blocks(pages: DataFrame, page: str = "url") -> DataFrame:
-    """(page, kind rsc, pos, json): rows of a streamed payload, whose pushed string chunks are joined and split at `id:` lines that carry an object or a list."""
-    chunks = F.transform(F.regexp_extract_all("html", F.lit(RSC_PUSH), F.lit(1)), lambda c: F.get_json_object(F.concat(F.lit("["), c, F.lit("]")), "$[0]"))
-    lines = F.transform(F.split(F.array_join(chunks, ""), "\n"), lambda x: F.regexp_extract(x, r"(?s)^[0-9a-f]+:([\[{].*)$", 1))
-    rows = pages.select(F.col(page).alias("page"), F.lit("rsc").alias("kind"), F.posexplode(F.filter(lines, lambda x: x != "")).alias("pos", "json"))
-    return rows
+def may_title(line: Column) -> Column:
+    """Whether a line can be a title: not a badge, a date, a price or a kind."""
+    return F.length(line).between(3, 200) & ~line.rlike(BADGES) & ~line.rlike(PRICED) & ~line.rlike(DATED) & ~F.lower(line).isin(*KINDS)
 
 
-def cards(pages: DataFrame, event: str, page: str = "url", most_lines: int = 12, most_chars: int = 700) -> DataFrame:
-    """(page, url, title, date_text, price_text, venue, lines): a card for each event address: the text from its first link on up to the next event's link. The title is the
-    link's own text, or the longest of the first three lines; date and price are the first lines that read so, the venue the line after the date."""
+def cards(pages: DataFrame, event: Callable[[Column], Column], page: str = "url", most_lines: int = 12, most_chars: int = 700) -> DataFrame:
+    """(page, pos, url, title, date_text, price_text, categories, venue, lines): a card for each address that `event` takes for an event's: the text from its first link on up to the next event's link, other links'
+    texts left out. The title is what the link's own attributes, heading, picture or text say, or the longest of the first three lines left; date and price are the first lines that read so; lines that name a kind are
+    categories; the first line left over is the venue."""
     parts = F.posexplode(F.split("html", r"(?i)(?=<a\b)")).alias("pos", "part")
     rows = pages.select(F.col(page).alias("page"), parts).withColumn("href", F.regexp_extract("part", ANCHOR, 1))
-    rows = rows.withColumn("url", F.when(F.col("href") != "", urls.canonical_url(urls.absolute_url(F.col("page"), F.col("href")))))
-    rows = rows.withColumn("url", F.when(F.col("url").rlike(event), F.col("url")))
-    rows = rows.withColumn("url", F.last("url", ignorenulls=True).over(Window.partitionBy("page").orderBy("pos"))).where("url is not null")
+    rows = rows.withColumn("link", F.when(F.col("href") != "", urls.canonical_url(urls.absolute_url(F.col("page"), F.col("href")))))
+    rows = rows.withColumn("url", F.when(event(F.col("link")), F.col("link")))
+    part = F.when(F.col("url").isNotNull(), F.col("part")).otherwise(F.regexp_replace("part", r"(?is)^<a\b.*?</a>", " "))  # another link's text is not the card's
+    rows = rows.withColumns({"part": part, "url": F.last("url", ignorenulls=True).over(Window.partitionBy("page").orderBy("pos"))}).where("url is not null")
     whole = rows.groupBy("page", "url").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x.part), " ").alias("part"), F.min("pos").alias("pos"))
     lines = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace("part", SILENT, " "), BLOCK + r"|</?a\b[^>]*>", "\n"), "\n"), inner_text), lambda x: x != "")
     out = whole.withColumn("lines", F.slice(lines, 1, most_lines))
     out = out.withColumn("lines", F.aggregate("lines", F.array().cast("array<string>"), lambda a, x: F.when(F.length(F.array_join(a, " ")) + F.length(x) <= most_chars, F.concat(a, F.array(x))).otherwise(a)))
-    first = lambda rx: F.get(F.filter("lines", lambda x: x.rlike(rx)), F.lit(0))
-    date_text = first(r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b|\b\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\b|\b(?:today|tomorrow)\b")
-    price_text = first(r"(?i)₹|\brs\.?\s*\d|^free\b")
-    head = F.slice("lines", 1, 3)
-    longest = F.reduce(head, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    own = inner_text(F.regexp_extract("part", ANCHOR, 2))
-    said = (F.length(own) >= 2) & ~own.rlike(r"(?i)^(?:book(?: now| tickets?)?|buy(?: now)?|details|view|more)$")
-    out = out.withColumns({"date_text": F.coalesce(date_text, F.lit("")), "price_text": F.coalesce(price_text, F.lit("")), "title": F.when(said, own).otherwise(longest)})
-    after = F.get("lines", F.array_position("lines", F.col("date_text")).cast("int"))
-    venue = F.when((F.col("date_text") != "") & (after != F.col("price_text")), after)
-    return out.select("page", "url", "title", "date_text", "price_text", F.coalesce(venue, F.lit("")).alias("venue"), "lines")
+    first = lambda rx: F.coalesce(F.get(F.filter("lines", lambda x: x.rlike(rx) & ~x.rlike(BADGES)), F.lit(0)), F.lit(""))
+    out = out.withColumns({"date_text": first(DATED), "price_text": first(PRICED)})
+    rest = F.filter("lines", lambda x: ~x.rlike(BADGES) & (x != F.col("date_text")) & (x != F.col("price_text")) & ~F.lower(x).isin(*KINDS))
+    link, attribute = F.regexp_extract("part", r"(?is)^<a\b[^>]*>", 0), lambda tag, name: clean_text(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1))
+    own = F.regexp_extract("part", ANCHOR, 2)
+    told = F.array(
+        attribute(link, "title"), attribute(link, "aria-label"), inner_text(F.regexp_extract(own, r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>", 1)), attribute(F.regexp_extract(own, r"(?is)<img\b[^>]*>", 0), "alt"),
+        inner_text(own), inner_text(F.regexp_extract("part", r"(?is)<h[3-6]\b[^>]*>(.*?)</h[3-6]>", 1)), attribute(F.regexp_extract("part", r"(?is)<img\b[^>]*>", 0), "alt"),
+    )
+    longest = F.reduce(F.slice("rest", 1, 3), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    out = out.withColumns({"rest": rest, "told": told}).withColumn("title", clean_title(F.coalesce(F.get(F.filter("told", may_title), F.lit(0)), longest)))
+    venue = F.get(F.filter("rest", lambda x: (x != F.col("title")) & F.length(x).between(3, 140)), F.lit(0))
+    return out.select("page", "pos", "url", "title", "date_text", "price_text", F.filter("lines", lambda x: F.lower(x).isin(*KINDS)).alias("categories"), F.coalesce(venue, F.lit("")).alias("venue"), "lines").where("title != ''")
+
+
+def card_events(found: DataFrame, ref: dt.date) -> DataFrame:
+    """Event rows of cards(), with page and pos."""
+    rows = found.select("page", "pos", "url", "title", "venue", "categories", F.col("price_text").alias("told"), dates.date_range(F.col("date_text"), ref).alias("d"), money.price_of_text(F.col("price_text")).alias("p"))
+    priced = F.col("p.price_min").isNotNull()
+    return as_events(rows.select("*", "d.start", "d.end", "d.has_time", "p.price_min", "p.price_max", "p.is_free", F.when(priced, F.col("told")).otherwise("").alias("price_text")), "page", "pos")
 
 
 def microdata(pages: DataFrame, page: str = "url") -> DataFrame:
-    """(page, pos, title, start_text, end_text, url, venue, price_text): items of an Event type that name themselves and a start; the first value of a property counts."""
+    """(page, pos, title, start_text, end_text, url, venue, price_text, low_text, high_text, description): items of an Event type that name themselves and a start; the first value of a property counts."""
     parts = F.posexplode(F.filter(F.split("html", r"(?i)(?=<[a-z]+\b[^>]*\bitemtype\s*=\s*[\"'][^\"']*schema\.org/[A-Za-z]*(?:Event|Festival)[\"'])"), lambda x: x.rlike(r"(?i)^<[a-z]+\b[^>]*\bitemtype\s*=\s*[\"'][^\"']*schema\.org/[A-Za-z]*(?:Event|Festival)[\"']"))).alias("pos", "part")
     rows = pages.select(F.col(page).alias("page"), parts)
 
@@ -233,5 +223,5 @@ def microdata(pages: DataFrame, page: str = "url") -> DataFrame:
         value = F.regexp_extract(F.regexp_extract("part", tag, 0), r"(?is)\b(?:content|datetime|href)\s*=\s*[\"']([^\"']*)[\"']", 1)
         return F.when(value != "", clean_text(value)).otherwise(inner_text(F.regexp_extract("part", tag + r"(.*?)</", 1)))
 
-    out = rows.select("page", "pos", prop("name").alias("title"), prop("startDate").alias("start_text"), prop("endDate").alias("end_text"), prop("url").alias("url"), prop("location").alias("venue"), prop("price").alias("price_text"))
+    out = rows.select("page", "pos", prop("name").alias("title"), prop("startDate").alias("start_text"), prop("endDate").alias("end_text"), prop("url").alias("url"), prop("location").alias("venue"), prop("price").alias("price_text"), prop("lowPrice").alias("low_text"), prop("highPrice").alias("high_text"), prop("description").alias("description"))
     return out.where("title != '' and start_text != ''")

@@ -21,6 +21,9 @@ def test_dates(spark):
     cases = {
         "2026-10-11T19:30:00+05:30": (at(2026, 10, 11, 19, 30), True), "2026-10-11T14:00:00Z": (at(2026, 10, 11, 19, 30), True), "2026-10-11": (at(2026, 10, 11), False), "2026-02-30": (None, False),
         "Sat, 10 Oct": (at(2026, 10, 10), False), "15 Feb onwards": (at(2027, 2, 15), False), "Oct 12, 2026": (at(2026, 10, 12), False), "12/10/2026": (at(2026, 10, 12), False), "1791669600": (at(2026, 10, 11, 3, 30), True),
+        "1791999000000": (at(2026, 10, 14, 23), True), "12": (None, False), "2026-10-11T20:00:00.123456789+0530": (dt.datetime(2026, 10, 11, 20, 0, 0, 123456), True), "Friday, October 9 at 7:00 PM": (at(2026, 10, 9, 19), True), "15th Jan": (at(2027, 1, 15), False),
+        "Today, 8:00 PM": (at(2026, 10, 7, 20), True), "Tomorrow": (at(2026, 10, 8), False), "10/11/2026": (at(2026, 11, 10), False), "10/25/2026": (at(2026, 10, 25), False), "Book now": (None, False), "Marathon 5": (None, False), "31 Apr 2026": (None, False),
+        "11 Oct 2026 7:30 pm +2400": (at(2026, 10, 11, 19, 30), True), "11 Oct 2026 +530": (at(2026, 10, 11), False), "11 Oct, 2026 | 7:00 PM | Call +91 98200 12345": (at(2026, 10, 11, 19), True), "12 Oct 26": (at(2026, 10, 12), False), "Oct 2026": (at(2026, 10, 1), False),
         "tomorrow 7 pm": (at(2026, 10, 8, 19), True), "12 October 2026, 7:30 PM": (at(2026, 10, 12, 19, 30), True), "nothing": (None, False), "": (None, False),
     }
     got = column(spark, [*cases], lambda x: dates.date_range(x, REF))
@@ -31,10 +34,12 @@ def test_dates(spark):
 def test_ranges(spark):
     cases = {
         "10 - 12 Oct": (at(2026, 10, 10), at(2026, 10, 12)), "10-12 Oct": (at(2026, 10, 10), at(2026, 10, 12)), "Sat, 10 Oct - Sun, 11 Oct": (at(2026, 10, 10), at(2026, 10, 11)), "28 Dec - 3 Jan": (at(2026, 12, 28), at(2027, 1, 3)),
-        "10 Oct to 12 Nov 2026": (at(2026, 10, 10), at(2026, 11, 12)), "30 - 2 Nov": (None, at(2026, 11, 2)),
+        "10 Oct to 12 Nov 2026": (at(2026, 10, 10), at(2026, 11, 12)), "30 - 2 Nov": (at(2026, 10, 30), at(2026, 11, 2)),
+        "10-12 Oct 2026": (at(2026, 10, 10), at(2026, 10, 12)), "Oct 30 - Nov 2": (at(2026, 10, 30), at(2026, 11, 2)), "28 Dec - 3 Jan 2027": (at(2026, 12, 28), at(2027, 1, 3)), "Dec 30 – Jan 2": (at(2026, 12, 30), at(2027, 1, 2)),
+        "Oct 10 | 7:00 PM - 10:00 PM": (at(2026, 10, 10, 19), None), "31 - 2 Nov": (at(2026, 10, 31), at(2026, 11, 2)), "2026-10-10": (at(2026, 10, 10), None),
     }
     got = column(spark, [*cases], lambda x: dates.date_range(x, REF))
-    for (said, (start, end)), r in list(zip(cases.items(), got, strict=True))[:-1]:
+    for (said, (start, end)), r in zip(cases.items(), got, strict=True):
         assert (r.start, r.end) == (start, end), said
 
 
@@ -88,16 +93,19 @@ def test_urls(spark):
     hrefs = {"/x": "https://h.test/x", "y": "https://h.test/a/y", "../z": "https://h.test/z", "//o.test/q": "https://o.test/q", "mailto:a@b": "", "#t": "", "https://k.test/": "https://k.test/", "": ""}
     assert column(spark, [*hrefs], lambda x: urls.absolute_url(F.lit("https://h.test/a/b"), x)) == [*hrefs.values()]
     assert column(spark, ["m.x.test", "x.test", "badx.test"], lambda x: urls.domain_rank(x, [("x.test", "X")])) == ["X", "X", None]
-    assert column(spark, ["https://x.test/events/big-night-out/ET00412345"], text.title_from_url) in (["Et00412345"], [""]) or True
+    assert column(spark, ["https://x.test/events/big-night-out/ET00412345", "https://x.test/e/jazz-trio-tickets-991?x=1", "https://x.test/e/solo-act-1234567/", "https://x.test"], text.title_from_url)[:3] == ["Big Night Out", "Jazz Trio", "Solo Act"]
 
 
 def test_robots(spark):
-    from almanack.operators.tables import robots
+    from almanack.operators.tables import robots, robots_rules
 
-    rules = spark.createDataFrame([("/private", False), ("/private/open", True), ("/*.pdf$", False), ("/same", False), ("/same", True)], "rule string, allow boolean")
+    text = "User-agent: *\nDisallow: /\n\nUser-agent: mybot\nUser-agent: other\nDisallow: /private # not this\nAllow: /private/open\nDisallow: /*.pdf$\nDisallow: /same\nAllow: /same\nDisallow:\n"
+    files = spark.createDataFrame([("a.test", text), ("b.test", "User-agent: *\r\nDisallow: /x\r\n"), ("c.test", "Disallow: /none\n"), ("d.test", "")], "host string, text string")
     paths = {"/private/x": False, "/private/open/1": True, "/a/b.pdf": False, "/a/b.pdfx": True, "/": True, "/same": True}
-    out = robots(spark.createDataFrame([(p,) for p in paths], "path string"), rules).collect()
-    assert {x.path: x.allowed for x in out} == paths
+    rows = spark.createDataFrame([("a.test", p) for p in paths] + [("b.test", "/x/1"), ("c.test", "/none"), ("e.test", "/x")], "host string, path string")
+    out = {(x.host, x.path): x.allowed for x in robots(rows, robots_rules(files, "MyBot/1.0")).collect()}
+    assert out == {("a.test", p): ok for p, ok in paths.items()} | {("b.test", "/x/1"): False, ("c.test", "/none"): True, ("e.test", "/x"): True}
+    assert {x.allowed for x in robots(rows.where("host = 'a.test'"), robots_rules(files, "stranger")).collect()} == {False}
 
 
 def test_tiers(spark):
@@ -109,7 +117,9 @@ def test_tiers(spark):
 
 
 def test_activities(spark):
-    cases = [([], "Stand-up by Someone", "", "Comedy"), (["music-shows"], "Navratri Nights with Garba", "", "Culture"), ([], "Pottery Workshop", "", "Workshops"), (["Music"], "An evening", "", "Music"), ([], "India vs Australia", "", "Sports to Watch"), ([], "City Half Marathon", "", "Recreational Sports"), ([], "Wine tasting", "", "F&B"), ([], "The Musical", "", "Theatre"), (["performances"], "Untold", "an art exhibition", "Art"), ([], "Something", "", "Other"), ([], "Grand Festival", "", "Culture"), ([], "Oktoberfest live music", "", "F&B")]
+    cases = [([], "Stand-up by Someone", "", "Comedy"), (["music-shows"], "Navratri Nights with Garba", "", "Culture"), ([], "Pottery Workshop", "", "Workshops"), (["Music"], "An evening", "", "Music"), ([], "India vs Australia", "", "Sports to Watch"), ([], "City Half Marathon", "", "Recreational Sports"), ([], "Wine tasting", "", "F&B"), ([], "The Musical", "", "Theatre"), (["performances"], "Untold", "an art exhibition", "Culture"), (["entertainment"], "Untold", "an art exhibition", "Art"), ([], "Something", "", "Other"), ([], "Grand Festival", "", "Culture"), ([], "Oktoberfest live music", "", "F&B"), ([], "Volleyball finals", "", "Sports to Watch"), ([], "Certificate course in design", "", "Workshops"), ([], "Odissi by Sujata", "", "Culture"), (["Sports"], "Tata Mumbai Marathon 2027", "", "Recreational Sports"),
+        (["Music Shows", "Concerts"], "Dream Theater – 40th Anniversary Tour India", "", "Music"), (["Sports"], "India vs Brazil – International Friendly", "", "Sports to Watch"), (["Kids"], "Peppa Pig Live", "", "Other"), ([], "Mana Run Hyderabad 2026", "Popular city run event.", "Recreational Sports"),
+        ([], "Hemis Festival 2026 – Ladakh", "Rare Buddhist masked dance festival.", "Culture"), ([], "Women's Indian Open Golf 2026", "", "Recreational Sports"), ([], "Commonwealth Youth Games", "", "Sports to Watch"), ([], "Mixed martial arts gala", "", "Other")]
     rows = spark.createDataFrame([(i, c, t, d) for i, (c, t, d, _) in enumerate(cases)], "i int, c array<string>, t string, d string")
     got = [x.y for x in rows.select("i", classify.activity(F.col("c"), F.col("t"), F.col("d"), F.lit("")).alias("y")).orderBy("i").collect()]
     assert got == [c[3] for c in cases]
