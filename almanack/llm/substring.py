@@ -99,10 +99,10 @@ def _digest(docs: DataFrame, short: int, window: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, hashes: list[str]) -> DataFrame:
-    """k1, k2 and the places of the windows whose hash occurs twice. Counts are summed before the shuffle; the hashes are written and come back by broadcast where they
-    are few, else by a shuffle whose hot partitions Spark may split, since nothing but the join reads it."""
+    """k1, k2 and the places of the windows whose hash occurs twice. Counts are summed before the shuffle; the hashes are written and come back by a
+    shuffle whose hot partitions Spark may split, since nothing but the join reads it."""
     twice = written(rows.groupBy(*hashes).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*hashes), "substring-twice")
-    return semi(rows, twice, hashes).groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+    return rows.join(twice, hashes, "left_semi").groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
 
 
 def _next(texts: DataFrame, short: int, longer: int, window: int, last: bool) -> DataFrame:
