@@ -1,4 +1,4 @@
-"""The thin queries op1 .. op10 over whole tables, and their SQL where SQL can express them."""
+"""The thin queries op1 .. op13 over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import decontam, jaccard, language, licenses, packing, quality, sharding, substring, topk, urlfilter
+from almanack.llm import decontam, infill, jaccard, language, licenses, packing, quality, sharding, substring, topk, urlfilter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,9 +156,27 @@ select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, low as component_id
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.infilled(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(infill.restored(F.col("form"), F.col("output")), 256)}
+    return out.withColumns(digest).select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
+
+
+OP11_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+draws as (select *, len(u) as n, [cast('0x' || substr(h, 1 + 8 * i, 8) as bigint) for i in range(4)] as x from d),
+cuts as (select *, least(x[1] % (n + 1), x[2] % (n + 1)) as a, greatest(x[1] % (n + 1), x[2] % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or x[3] % 100 >= 100 then 'plain' when x[4] % 100 < 50 then 'spm' else 'psm' end as form from draws),
+parts as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:n], '') as s from cuts)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from parts
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op6_topk": op6_topk, "op7_decontamination": op7_decontamination, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op6_topk": op6_topk, "op7_decontamination": op7_decontamination, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join, "op11_fill_in_middle": op11_fill_in_middle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_url_filter": _op8_sql(), "op9_substring_dedup": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op6_topk": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_url_filter": _op8_sql(), "op9_substring_dedup": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
