@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import decontam, infill, jaccard, language, licenses, packing, quality, sharding, substring, topk, urlfilter
+from almanack.llm import decontam, infill, jaccard, language, licenses, mixing, packing, quality, sharding, substring, topk, urlfilter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,9 +174,38 @@ from parts
 """
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_t(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP13_SQL = r"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+g as (select doc_id, source, size, count(*) as n from d group by all),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+w as (select *, row_number() over (order by source nulls last) - 1 as rank from s),
+limits as (select *, [3, 1, 2][rank % 3 + 1] as weight, 2 * source_size as most, (select sum(source_size) from s) as total from w),
+water as (select *, (1.5::double * total::double - coalesce(sum(most) over before, 0)::double) / (sum(weight) over after)::double as level from limits
+  window before as (order by most::double / weight, rank rows between unbounded preceding and 1 preceding), after as (order by most::double / weight, rank rows between current row and unbounded following)),
+stop as (select level from water where most > level * weight order by most::double / weight, rank limit 1),
+goal as (select source, rank, source_size, case when coalesce(most <= (select level from stop) * weight, true) then most::double else (select level from stop) * weight end as target, total from limits),
+blocks as (select doc_id, source, size, n, unnest(range((n + 999) // 1000)) as block from g),
+turns as (select *, least(1000, n - 1000 * block) as copies, md5('13:' || coalesce(cast(doc_id as varchar), '') || case when block > 0 then ':' || block else '' end) as turn from blocks),
+q as (select *, coalesce(sum(size * copies) over (partition by source order by turn, doc_id nulls first, size, block rows between unbounded preceding and 1 preceding), 0) as queued from turns),
+each as (select q.*, unnest(range(copies)) as copy, rank, source_size, target, total, greatest(1, floor(target * 0.01))::bigint as quantum from q join goal on q.source is not distinct from goal.source),
+docs as (select row_number() over () as rid, * from each),
+passes as (select *, unnest([0, 1]) as turn_no from docs where size > 0 and target > 0),
+starts as (select *, unnest(range(0, size, quantum)) as start from passes),
+p as (select rid, rank, total, queued + copy * size + turn_no * source_size + start as place, least(quantum, size - start) as words, target from starts),
+f as (select *, (place + words)::double / target as finish from p),
+c as (select *, coalesce(sum(words) over (order by finish, rank, place rows between unbounded preceding and 1 preceding), 0) as sum_before from f),
+t as (select rid, cast(sum(least(words, greatest(0, floor(1.5 * total) - sum_before))) as bigint) as taken from c group by rid)
+select doc_id, size, source_size, target, coalesce(taken, 0) as taken from docs left join t using (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op6_topk": op6_topk, "op7_decontamination": op7_decontamination, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join, "op11_fill_in_middle": op11_fill_in_middle}
+    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op6_topk": op6_topk, "op7_decontamination": op7_decontamination, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join, "op11_fill_in_middle": op11_fill_in_middle, "op13_source_mix": op13_source_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_url_filter": _op8_sql(), "op9_substring_dedup": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op6_topk": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_url_filter": _op8_sql(), "op9_substring_dedup": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op13_source_mix": OP13_SQL}
