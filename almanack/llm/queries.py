@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import decontam, infill, jaccard, language, licenses, mixing, packing, quality, sharding, substring, topk, urlfilter
+from almanack.llm import conversations, decontam, infill, jaccard, language, licenses, mixing, packing, quality, sharding, substring, topk, urlfilter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,6 +174,15 @@ from parts
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations")
+    ids = rows.select("conv_id").distinct().withColumn("conv", conversations.conversation())
+    done = conversations.repaired(conversations.damaged(rows))
+    out = ids.join(done.audits, "conv", "left").join(conversations.digests(done.messages), "conv", "left")
+    longs = [F.coalesce(k, F.lit(0)).cast("bigint").alias(k) for k in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_t(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -204,7 +213,7 @@ select doc_id, size, source_size, target, coalesce(taken, 0) as taken from docs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op6_topk": op6_topk, "op7_decontamination": op7_decontamination, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join, "op11_fill_in_middle": op11_fill_in_middle, "op13_source_mix": op13_source_mix}
+    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op6_topk": op6_topk, "op7_decontamination": op7_decontamination, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join, "op11_fill_in_middle": op11_fill_in_middle, "op12_conversation_repair": op12_conversation_repair, "op13_source_mix": op13_source_mix}
 
 
 def oracle_sql() -> dict[str, str]:
