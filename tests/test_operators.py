@@ -88,6 +88,47 @@ def test_resolve_is_the_sequential_fold(spark):
             assert got == want
 
 
+def test_resolve_by_either_step_alone(spark, monkeypatch):
+    """Judging only, folding only, and folds of two rows at a time come to the same leads."""
+    rows = toy(7) + [r | dict(url=f"https://x.test/{i % 3}", start=None, source_id=f"u{i}") for i, r in enumerate(toy(8)[:12])]
+    want, settle, contract = plain_leads(rows), resolve._settle, resolve._contract
+    for step, chain in ((settle, 5000), (contract, 5000), (contract, 2)):
+        monkeypatch.setattr(resolve, "CHAIN", chain)
+        monkeypatch.setattr(resolve, "_settle", settle)
+        monkeypatch.setattr(resolve, "_contract", step)
+        assert {x.ord: x.lead for x in resolve.leads(events(spark, rows)).collect()} == want
+
+
+def daily(days, end=None):
+    return [dict(title="Grand Circus Evening", url=f"https://x.test/{i}", platform="Meetup", source_id=str(i), city="Pune", start=DAY + dt.timedelta(days=i), end=end and DAY + dt.timedelta(days=i + end), venue="Big Top", detail_fetched=False) for i in range(days)]
+
+
+def test_a_chain_of_a_year_takes_few_rounds(spark):
+    for rows in (daily(365), daily(365, 1), daily(365, 2), daily(365) + [daily(1, 60)[0] | dict(url="https://x.test/run", platform="Odd")]):
+        got, rounds = resolve._leads(events(spark, rows))
+        assert {x.ord: x.lead for x in got.collect()} == plain_leads(rows) and rounds < 15
+
+
+def test_hot_url_and_hot_title_make_no_pairs(spark):
+    """Rows of one url, and rows of one title, day and venue, are listed once each."""
+    base = dict(platform="Meetup", city="Pune", detail_fetched=False, end=None)
+    url = [base | dict(title=f"Show number{i} word{i}", url="https://x.test/hot", source_id=str(i), start=DAY + dt.timedelta(days=200 * i), venue="") for i in range(40)]
+    slot = [base | dict(title="Open Mic Evening Jam", url=f"https://y.test/{i}", source_id=f"s{i}", start=DAY, venue="Hall One") for i in range(40)]
+    seen = []
+    for rows in (url, slot, url * 2, slot * 2):
+        rows = [r | dict(source_id=str(i)) for i, r in enumerate(rows)]
+        e = events(spark, rows)
+        listed = []
+        real = resolve._reach
+        resolve._reach = lambda own, titles, real=real, listed=listed: listed.append(n := real(own, titles)) or n
+        try:
+            assert {x.ord: x.lead for x in resolve.leads(e).collect()} == plain_leads(rows)
+        finally:
+            resolve._reach = real
+        seen.append(listed[0].count())
+    assert seen[0] <= 2 * 40 and seen[1] <= 2 * 40 and seen[2] <= 2 * 80 and seen[3] <= 2 * 80
+
+
 def test_same_show_on_three_platforms(spark):
     base = dict(city="Mumbai", start=DAY, title="Big Jazz Night Trio")
     rows = [base | dict(platform="AllEvents", url="c", organizer="Org", platforms=["AllEvents"]), base | dict(platform="BookMyShow", url="a", platforms=["BookMyShow"]), base | dict(platform="Meetup", url="b", platforms=["Meetup"]), base | dict(platform="Meetup", url="d", city="Pune", platforms=["Meetup"])]
