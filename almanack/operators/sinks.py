@@ -1,4 +1,5 @@
-"""Sinks: an append-only master with its index, a rebuilt rolling calendar, a run log, a keyed page cache. Tables are folders under one root."""
+"""Sinks: an append-only master with its index, a rebuilt rolling calendar, a run log, a keyed page cache. Tables are named by the versions of one commit log, so readers see all of a
+step or nothing; folders under the root that no version names (a user's tables, older books) are read as they are."""
 
 from __future__ import annotations
 
@@ -6,12 +7,13 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanack.functions import money, places, text
 from almanack.functions.classify import ACTIVITIES, TIERS, UNKNOWN_TIER
-from almanack.operators.tables import counts_by, crosstab, newest, serials
+from almanack.operators.commits import Conflict, Log
+from almanack.operators.tables import counts_by, crosstab, fresh, serials
 from almanack.schema import buy_link, identity
 
 CALENDAR = ["event_name", "activity_type", "tier", "start_date", "end_date", "city", "venue", "organizer", "price_range", "platforms", "notes", "register_by", "link"]
@@ -44,6 +46,7 @@ class Book:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.log = Log(spark, self.root)
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -54,10 +57,13 @@ class Book:
 
     def exists(self, name: str) -> bool:
         fs, path = self._hadoop(name)
-        return fs.exists(path)
+        return name in self.log.state()[1] or fs.exists(path)
 
     def read(self, name: str) -> DataFrame | None:
-        return self.spark.read.option("mergeSchema", "true").parquet(self._path(name)) if self.exists(name) else None
+        if (rows := self.log.read(name)) is not None:
+            return rows
+        fs, path = self._hadoop(name)
+        return self.spark.read.option("mergeSchema", "true").parquet(self._path(name)) if fs.exists(path) else None
 
     def create(self) -> None:
         """The empty tables of a new book; those that are there stay."""
@@ -75,40 +81,68 @@ class Book:
         while free not in own and self.exists(free):
             k += 1
             free = f"{name}_{k}"
-        self.replace(free, rows, by)
+        new = {free: {"parts": [self.log.written(free, rows, by)]}}
         if free not in own:
-            self.replace("_generated", self.spark.createDataFrame([(x,) for x in [*own, free]], "name string"))
+            new["_generated"] = {"parts": [self.log.written("_generated", self._names([*own, free]))]}
+        self.log.change(lambda entries: entries.update(new))
         return free
 
     def drop_stale(self, keep: list[str]) -> list[str]:
         """Delete generated tables that are not to be kept; returns their names."""
         own = self.generated()
         gone = [x for x in own if x not in keep]
-        for x in gone:
-            fs, path = self._hadoop(x)
-            fs.delete(path, True)
         if gone:
-            self.replace("_generated", self.spark.createDataFrame([(x,) for x in own if x in keep], "name string"))
+            register = self.log.written("_generated", self._names([x for x in own if x in keep]))
+
+            def edit(entries: dict) -> None:
+                for x in gone:
+                    entries.pop(x, None)
+                entries["_generated"] = {"parts": [register]}
+
+            self.log.change(edit)
+            for x in gone:  # of an older book
+                fs, path = self._hadoop(x)
+                fs.delete(path, True)
         return gone
 
+    def _names(self, names: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(x,) for x in names], "name string")
+
     def replace(self, name: str, rows: DataFrame, by: list[str] | None = None) -> None:
-        """Write aside, then rename: readers see the old table or the new one, and a failed write leaves the old. by: columns that become folders."""
-        aside = f".{name}-{uuid.uuid4().hex}"
-        (rows.write.partitionBy(*by) if by else rows.write).parquet(self._path(aside))
-        fs, new = self._hadoop(aside)
-        _, old = self._hadoop(name)
-        kept = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(f".old-{name}-{uuid.uuid4().hex}"))
-        if fs.exists(old):
-            fs.rename(old, kept)
-        fs.rename(new, old)
-        if fs.exists(kept):
-            fs.delete(kept, True)
-
-    def append_to_master(self, events: DataFrame, run_at: dt.datetime) -> int:
-        """Add what no earlier run added (by identity, link, match key, or title on a day in a city), also if it was deleted from the master since. Returns how many."""
+        """Write aside, then commit: readers see the old table or the new one at every moment. by: columns that become folders."""
+        part = self.log.written(name, rows, by)
+        self.log.change(lambda entries: entries.update({name: {"parts": [part]}}))
+
+    def append_to_master(self, events: DataFrame, run_at: dt.datetime, tries: int = 8) -> int:
+        """Add what no earlier run added (by identity, link, match key, or title on a day in a city), also if it was deleted from the master since. Returns how many. Master and index grow by one
+        commit; if another writer comes first, what is new is found again."""
         rows = calendar_rows(events)
-        index = self.read("master_index")
         once = rows.groupBy("identity").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "identity")), "start_date").alias("r")).select("identity", "r.*")
+        for _ in range(tries):
+            base, entries = self.log.state()
+            new = self._new_rows(once, run_at)
+            batch = self.log.written("batch", new)  # numbered once: both tables are cut from the same rows
+            new = self.spark.read.schema(new.schema).parquet(self._path(batch["path"]))
+            n = new.count()
+            if n:
+                index = new.select("identity", "link", "match_key", "event_name", "city", "start_date", "added_on", F.lit(run_at.timestamp()).alias("seq"))
+                parts = {"master": self.log.written("master", new.select("serial", *CALENDAR, "added_on")), "master_index": self.log.written("master_index", index)}
+                for name, part in parts.items():
+                    old = entries.get(name, {"parts": [{"path": name}] if self.exists(name) else []})  # an older book's folder counts as the first part
+                    entries[name] = {"parts": [*old["parts"], part]}
+            fs, path = self._hadoop(batch["path"])
+            fs.delete(path, True)
+            try:
+                if n:
+                    self.log.commit(base, entries)
+                return n
+            except Conflict:
+                continue
+        raise Conflict("no end of other writers")
+
+    def _new_rows(self, once: DataFrame, run_at: dt.datetime) -> DataFrame:
+        """The rows that the index does not know, numbered on from the master's greatest serial."""
+        index = self.read("master_index")
         if index is not None:
             for key in ("identity", "link", "match_key"):
                 once = once.join(index.select(key).where(F.col(key) != "").distinct(), key, "left_anti")
@@ -118,16 +152,7 @@ class Book:
         master = self.read("master")
         last = 0 if master is None else master.agg(F.coalesce(F.max("serial"), F.lit(0))).first()[0]
         order = [places.city_rank(F.col("city")), F.asc_nulls_last("start_date"), F.lower("event_name"), F.col("identity")]
-        new = serials(once, order, last).withColumn("added_on", F.lit(run_at.date()))
-        batch = uuid.uuid4().hex
-        new.write.parquet(self._path(f".batch-{batch}"))  # numbered once: both appends read the same rows
-        new = self.spark.read.parquet(self._path(f".batch-{batch}"))
-        new.select("serial", *CALENDAR, "added_on").write.mode("append").parquet(self._path("master"))
-        new.select("identity", "link", "match_key", "event_name", "city", "start_date", "added_on", F.lit(run_at.timestamp()).alias("seq")).write.mode("append").parquet(self._path("master_index"))
-        n = new.count()
-        fs, path = self._hadoop(f".batch-{batch}")
-        fs.delete(path, True)
-        return n
+        return serials(once, order, last).withColumn("added_on", F.lit(run_at.date()))
 
     def rebuild_rolling(self, events: DataFrame, by_city: bool = False) -> None:
         rows = calendar_rows(events)
@@ -179,9 +204,17 @@ class Book:
         self.spark.createDataFrame([(json.dumps(facts, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(self._path("last_run"))
 
     def upsert_pages(self, pages: DataFrame) -> None:
-        """The newest row of each url stays (columns: url, ..., fetched_at)."""
-        have = self.read("pages")
-        self.replace("pages", newest(pages if have is None else have.unionByName(pages, allowMissingColumns=True), "url", "fetched_at"))
+        """The newest row of each url counts (columns: url, ..., fetched_at). What is written grows with these pages, not with the cache."""
+        self.log.upsert("pages", pages, "url", "fetched_at")
+
+    def prune_pages(self, before: dt.datetime) -> None:
+        """Pages that were fetched before go."""
+        self.log.pruned("pages", before.strftime("%Y-%m-%d %H:%M:%S"))
+
+    def cached_pages(self, urls_: DataFrame, now: Column, seconds: int) -> DataFrame | None:
+        """The stored pages of these urls that are not older than so many seconds."""
+        rows = self.log.looked_up("pages", urls_)
+        return None if rows is None else fresh(rows, "fetched_at", now, seconds)
 
     def keep_backups(self, name: str, keep: int) -> list[str]:
         """Copy a table aside under a numbered name and keep the last `keep`; returns their names."""
