@@ -112,7 +112,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if s["keep_backups"]:
         book.keep_backups("master", int(s["keep_backups"]))
     added = book.append_to_master(kept, now)
-    book.rebuild_rolling(kept, by_city=s["city_tabs"])
+    book.rebuild_rolling(kept, by_city=s["city_tabs"], window=(first, last))
     if s["summary"]:
         book.summarise(kept)
     if a.diagnose and stats is not None:

@@ -16,7 +16,9 @@ from almanack.operators.commits import Conflict, Log
 from almanack.operators.tables import counts_by, crosstab, fresh, serials
 from almanack.schema import buy_link, identity
 
-CALENDAR = ["event_name", "activity_type", "tier", "start_date", "end_date", "city", "venue", "organizer", "price_range", "platforms", "notes", "register_by", "link"]
+CALENDAR = ["event_name", "activity_type", "tier", "start_date", "end_date", "city", "venue", "organizer", "price_range", "platforms", "notes", "register_by", "link", "region"]
+#: The fixed value of a listing's region.
+REGION = "India"
 #: The rolling calendar shows no price and no organiser.
 ROLLING = [c for c in CALENDAR if c not in ("price_range", "organizer")]
 #: Kinds of the tables that a new book starts with.
@@ -36,7 +38,7 @@ def calendar_rows(events: DataFrame) -> DataFrame:
         F.when(~F.col("end_known"), "Multiple dates").otherwise(F.date_format(F.coalesce("end", "start"), "yyyy-MM-dd")).alias("end_date"), "city",
         tbc(F.when(named & (F.col("venue") != ""), F.concat_ws(", ", "venue", place)).otherwise(F.col("venue"))).alias("venue"), tbc(F.col("organizer")).alias("organizer"),
         tbc(money.format_price_range(F.col("price_min"), F.col("price_max"), F.col("is_free"))).alias("price_range"), F.array_join("platforms", " / ").alias("platforms"), "notes",
-        F.to_date("register_by").alias("register_by"), buy_link().alias("link"), identity().alias("identity"), text.match_key(F.col("title"), F.col("city"), F.col("start")).alias("match_key"),
+        F.to_date("register_by").alias("register_by"), buy_link().alias("link"), F.lit(REGION).alias("region"), identity().alias("identity"), text.match_key(F.col("title"), F.col("city"), F.col("start")).alias("match_key"),
     )
 
 
@@ -154,13 +156,16 @@ class Book:
         order = [places.city_rank(F.col("city")), F.asc_nulls_last("start_date"), F.lower("event_name"), F.col("identity")]
         return serials(once, order, last).withColumn("added_on", F.lit(run_at.date()))
 
-    def rebuild_rolling(self, events: DataFrame, by_city: bool = False) -> None:
+    def rebuild_rolling(self, events: DataFrame, by_city: bool = False, window: tuple[dt.date, dt.date] | None = None) -> None:
+        """The calendar city by city in date order. What began before the window stands at its first day, what has no date at its last."""
         rows = calendar_rows(events)
         index = self.read("master_index")
         if index is not None:
             rows = rows.join(index.groupBy("identity").agg(F.max_by("added_on", "seq").alias("added_on")), "identity", "left")
-        rank = places.city_rank(F.col("city"))
-        order = [rank, F.asc_nulls_last("start_date"), F.lower("event_name"), F.col("identity")]
+        shown = F.col("start_date")
+        if window is not None:
+            shown = F.when(shown.isNull(), F.lit(window[1])).otherwise(F.greatest(shown, F.lit(window[0])))
+        order = [places.city_rank(F.col("city")), shown.asc_nulls_last(), F.asc_nulls_last("start_date"), F.lower("event_name"), F.col("identity")]
         out = serials(rows, order).join(rows.groupBy("city").agg(F.count(F.lit(1)).alias("in_city")), "city")
         out = out.select("serial", *ROLLING, *(["added_on"] if index is not None else []), "in_city")
         self.publish("rolling", out)

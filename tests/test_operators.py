@@ -254,6 +254,16 @@ def test_two_writers_cannot_make_one_version(spark, tmp_path):
     assert sorted(x.event_name for x in book.read("master").collect()) == ["Show Number alpha", "Show Number beta", "Show Number gamma"]
 
 
+def test_calendar_order_by_the_day_shown(spark, tmp_path):
+    """A run that began before the window stands at the window's first day, an undated event at its last."""
+    base = dict(city="Pune", platform="Meetup", platforms=["Meetup"])
+    rows = [base | dict(title=t, url=t, start=d) for t, d in (("undated", None), ("b began", DAY - dt.timedelta(days=30)), ("a first", DAY), ("c later", DAY + dt.timedelta(days=9)), ("z past", DAY + dt.timedelta(days=40)))]
+    book = sinks.Book(spark, str(tmp_path / "shown"))
+    book.rebuild_rolling(events(spark, rows), window=(DAY.date(), DAY.date() + dt.timedelta(days=30)))
+    got = book.read("rolling").orderBy("serial").collect()
+    assert [x.event_name for x in got] == ["b began", "a first", "c later", "undated", "z past"] and {x.region for x in got} == {"India"}
+
+
 def test_cache_writes_its_batch_and_prunes_by_age(spark, tmp_path):
     book = sinks.Book(spark, str(tmp_path / "pages"))
     kind = "url string, body string, fetched_at timestamp"
