@@ -10,7 +10,7 @@ pass; the model sent out has 2**bits numbers.
 
 Cases: null and empty texts have no feature and get the score of the bias; documents without a label are scored, labels without a document do not
 train; a document with both labels trains with both; with one class or none learned, all scores are that class's share, or 0.5; an empty table gives no
-rows; repeated rows are scored each for itself; only doc_id, text and quality are read.
+rows; repeated rows are scored each for itself and learned from once, by their least text; only doc_id, text and quality are read.
 """
 
 from __future__ import annotations
@@ -63,7 +63,8 @@ def _examples(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[pa.Ta
                 found += [np.flatnonzero(x).astype(np.int32) for x in _flags(t, hi - lo)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["quality", "buckets"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most 2 * per_class rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most 2 * per_class rows, however often an id is repeated
     return rows.select("quality", "text").mapInArrow(run, "quality int, buckets array<int>").toArrow(), counts
 
 

@@ -52,6 +52,15 @@ def test_no_labels_and_no_rows(spark):
     assert language.predict(none, language.train(none)).count() == 0 and quality.scores(none, quality.train(none, none.select("doc_id", F.lit(1).alias("quality")))).count() == 0
 
 
+def test_quality_sample_is_bounded_by_documents(spark):
+    """Ids that many rows repeat count once."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:12]
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in ids for k in range(300 if i in ids[:2] else 1)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id bigint, quality int")
+    got, _ = quality._examples(docs, labels, 5)
+    assert got.num_rows <= 10
+
+
 def test_quality(spark):
     r = random.Random(3)
     texts = []
