@@ -52,12 +52,35 @@ def test_neighbours_stay_apart(spark):
 def test_odd_rows(spark):
     got = scan(spark, [None, "", "plain", "license " * 5000, "Released under the MIT License.\n" * 3], spans=True)
     assert [(got[i].n_candidates, got[i].license) for i in range(3)] == [(0, None)] * 3
+    assert (got[3].n_candidates, got[3].n_confirmed) == (1, 0)
     assert got[4].n_confirmed == 3 and [x.start for x in got[4].candidates] == [0, 32, 64]
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_ranking_decides(spark, monkeypatch):
+    """Texts on which several templates lie, within what may differ: the one that saves most is given, and without the ranking another one is."""
+    by = lambda name, n: [t for x, t, _ in licenses.TEMPLATES if x == name and len(t) > n][0]
+    names = ["AGPL-3.0-or-later", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "BSD-2-Clause", "BSD-3-Clause"]
+    texts = [by(x, 100) for x in names] + ["Licensed under the Apache License, Version 2.0 and so on", by("Apache-2.0", 100), "// SPDX-License-Identifier: MIT-0"]
+    want = [*names, "Apache-2.0", "Apache-2.0", "MIT-0"]
+    got = scan(spark, texts)
+    assert [(got[i].licenses, got[i].n_differ) for i in range(len(texts))] == [(x, 0) for x in want]
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    assert [scanner.scan(t)[0][1] for t in texts] == want
+    monkeypatch.setattr(licenses.Scanner, "reduced", lambda self, block, number: (1000, 1000))
+    blind = licenses.Scanner(licenses.TEMPLATES)
+    assert [blind.scan(t)[0][1] for t in texts] != want
+    monkeypatch.setattr(licenses.Scanner, "reduced", lambda self, block, number: (0, 1000))
+    assert all(not licenses.Scanner(licenses.TEMPLATES).scan(t)[0][1] for t in texts)
+
+
+def test_common_notices(spark):
+    got = scan(spark, ["# SPDX-License-Identifier: MIT", "Licensed under the GPL-3.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: GPL-2.0-only+", "SPDX-License-Identifier: BSD-3-Clause-Clear"])
+    assert [got[i].license for i in range(5)] == ["MIT", "GPL-3.0-only", "CC-BY-4.0", None, None]
+
+
 def brute(text):
-    """Names of the licenses that lie at any place of the text: all templates by all places, words compared one by one; of two at one place the longer template's."""
+    """Names of the licenses that lie at any place of the text: all templates by all places, words compared one by one; of two at one place the one with more words less twice what differs, then the first by name."""
     have, found = licenses.words(text), []
     for name, t, differ in licenses.TEMPLATES:
         want = licenses.words(t)
@@ -67,10 +90,12 @@ def brute(text):
                 found.append((len(want), lo, lo + len(want), name))
             elif most and have[lo : lo + 1] == want[:1]:
                 m = [x for x in SequenceMatcher(None, have[lo : lo + len(want) + most], want, autojunk=False).get_matching_blocks() if x.size]
-                same, end = sum(x.size for x in m), m[-1].a + m[-1].size if m else 0
-                if len(want) - same + end - same <= most:
-                    found.append((len(want), lo, lo + end, name))
-    return sorted({x[3] for x in found if not any(y[0] > x[0] and y[1] < x[2] and x[1] < y[2] for y in found)})
+                ends = [(len(want) - 2 * sum(x.size for x in m[:k]) + m[k - 1].a + m[k - 1].size, m[k - 1].a + m[k - 1].size) for k in range(1, len(m) + 1)]
+                d, end = min(ends, default=(len(want), 0))  # the end with the fewest differences
+                if d <= most:
+                    found.append((len(want) - 2 * d, lo, lo + end, name))
+    ahead = lambda x, y: (-y[0], y[3]) < (-x[0], x[3])
+    return sorted({x[3] for x in found if not any(ahead(x, y) and y[1] < x[2] and x[1] < y[2] for y in found)})
 
 
 def test_against_brute_force(spark):
