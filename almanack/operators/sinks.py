@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from almanack.functions import money, places, text
 from almanack.functions.classify import ACTIVITIES, TIERS, UNKNOWN_TIER
 from almanack.operators.commits import Conflict, Log
+from almanack.operators.resolve import unseen_titles
 from almanack.operators.tables import counts_by, crosstab, fresh, serials
 from almanack.schema import buy_link, identity
 
@@ -148,9 +149,9 @@ class Book:
         if index is not None:
             for key in ("identity", "link", "match_key"):
                 once = once.join(index.select(key).where(F.col(key) != "").distinct(), key, "left_anti")
-            seen = index.select(F.col("city"), F.col("start_date"), text.title_tokens(F.col("event_name")).alias("__t"))
-            mine = once.withColumn("__own", text.title_tokens(F.col("event_name")))
-            once = mine.alias("n").join(seen.alias("o"), (F.col("n.city") == F.col("o.city")) & (F.col("n.start_date") == F.col("o.start_date")) & text.tokens_match(F.col("n.__own"), F.col("o.__t")), "left_anti").drop("__own")
+            seen = index.select("city", "start_date", text.title_tokens(F.col("event_name")).alias("tokens"))
+            mine = once.withColumn("tokens", text.title_tokens(F.col("event_name")))
+            once = unseen_titles(mine, seen, ["city", "start_date"]).drop("tokens")
         master = self.read("master")
         last = 0 if master is None else master.agg(F.coalesce(F.max("serial"), F.lit(0))).first()[0]
         order = [places.city_rank(F.col("city")), F.asc_nulls_last("start_date"), F.lower("event_name"), F.col("identity")]

@@ -173,6 +173,17 @@ def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("city", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+@query(f"""
+, t as (select lid, city, platform, year(start_d) as y, month(start_d) as m, status, {TOKENS} as k from listings)
+select n.lid from t n where n.status <> 'F' and not exists (select 1 from t s where s.status = 'F' and s.city = n.city and s.platform = n.platform and s.y = n.y and s.m = n.m and least(len(s.k), len(n.k)) > 0
+  and ((least(len(s.k), len(n.k)) >= 2 and len(list_intersect(s.k, n.k)) = least(len(s.k), len(n.k))) or len(list_intersect(s.k, n.k)) * 1.0 / (len(s.k) + len(n.k) - len(list_intersect(s.k, n.k))) >= 0.6))
+""")
+def unseen_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open listings whose title matches none of the closed ones of its city, platform and month."""
+    rows = listings(spark, sf_dir).select("lid", "city", "platform", F.year("start_d").alias("y"), F.month("start_d").alias("m"), "status", text.title_tokens(F.col("title")).alias("tokens"))
+    return resolve.unseen_titles(rows.where("status <> 'F'"), rows.where("status = 'F'"), ["city", "platform", "y", "m"]).select("lid")
+
+
 @query("""
 select r.lid as run, s.lid as show from listings r join listings s on r.city = s.city and r.title = s.title and r.lid < s.lid and (r.start_d = s.start_d or (s.start_d between r.start_d and coalesce(r.end_d, r.start_d)
   and coalesce(r.end_d, r.start_d) - r.start_d <= 120) or (r.start_d between s.start_d and coalesce(s.end_d, s.start_d) and coalesce(s.end_d, s.start_d) - s.start_d <= 120))

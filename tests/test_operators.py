@@ -340,3 +340,20 @@ def test_book_register_and_reports(spark, tmp_path):
     health = {(x.source, x.field): x for x in book.health(one, stats).collect()}
     assert health["meetup", "title"].rate == 1.0 and health["meetup", "title"].healthy and health["meetup", "venue"].filled == 0 and not health["none", "title"].healthy
     assert "by_tier" in book.drop_stale(["rolling_2", "health"]) and book.generated() == ["health", "rolling_2"]
+
+
+def test_unseen_titles_against_all_pairs(spark):
+    r = random.Random(4)
+    title = lambda: r.sample(["a", "b", "c", "d", "e", "f", "g", "h"], r.choice([0, 1, 2, 3, 4, 5]))
+    kind = "i int, city string, day int, tokens array<string>"
+    new = [(i, r.choice(["x", "y", None]), r.randint(0, 1), title()) for i in range(120)] * 2
+    seen = [(i, r.choice(["x", "y", None]), r.randint(0, 1), title()) for i in range(12)]
+
+    def match(a, b):
+        both, least = len({*a} & {*b}), min(len(a), len(b))
+        return least > 0 and (least >= 2 and both == least or 10 * both >= 6 * len({*a} | {*b}))
+
+    want = sorted(x[0] for x in new if not any(x[1] is not None and x[1:3] == y[1:3] and match(x[3], y[3]) for y in seen))
+    frames = [spark.createDataFrame(x, kind) for x in (new, seen)]
+    assert sorted(x.i for x in resolve.unseen_titles(*frames, ["city", "day"]).collect()) == want and 0 < len(want) < 240
+    assert resolve.unseen_titles(frames[0], frames[1].limit(0), ["city", "day"]).count() == 240 and resolve.unseen_titles(frames[0].limit(0), frames[1], ["city", "day"]).isEmpty()
