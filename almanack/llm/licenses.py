@@ -74,7 +74,7 @@ TEMPLATES: list[tuple[str, str, float]] = [
     *((x, f"SPDX-License-Identifier: {x}", 0.0) for x in SPDX),
 ]
 _REMEMBERED = 50_000
-#: Of the bytes that a long template saves on itself, the share that a block must save to be read word by word. Where a tenth of the words differ, over half is saved.
+#: Of the bytes that a long template saves on itself, the share that a block must save to be read word by word. Of templates with a tenth of their words changed at random, the least share seen was 0.75; none below LEAST is proven impossible.
 LEAST = 0.25
 #: A short notice that goes on so is another one (`GPL-2.0+`, `BSD-3-Clause-Clear`).
 _GOES_ON = re.compile(r"\+|-\w")
