@@ -142,10 +142,14 @@ def slugify(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text_of(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def title_from_url(url: Column) -> Column:
-    """The last path part that is no id, without ticket endings and long numbers, as words with capitals."""
-    parts = F.filter(F.split(F.regexp_replace(url, r"[?#].*$", ""), "/"), lambda p: (p != "") & ~p.rlike(r"(?i)^(?:ET)?\d+$"))
-    slug = F.regexp_replace(F.coalesce(F.get(F.reverse(parts), F.lit(0)), F.lit("")), r"-buy-tickets$|-tickets-\d+$|-\d{6,}$", "")
+def title_from_url(url: Column, numbers: bool = False) -> Column:
+    """The last path part that is no id, without ticket endings and long numbers, as words with capitals. numbers: a long number stays where the path ends with an id of its own."""
+    path = F.regexp_replace(url, r"[?#].*$", "")
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & ~p.rlike(r"(?i)^(?:ET)?\d+$"))
+    last = F.coalesce(F.get(F.reverse(parts), F.lit(0)), F.lit(""))
+    slug = F.regexp_replace(last, r"-buy-tickets$|-tickets-\d+$|-\d{6,}$", "")
+    if numbers:
+        slug = F.when(path.rlike(r"(?i)/(?:ET)?\d+/*$"), F.regexp_replace(last, r"-buy-tickets$|-tickets-\d+$", "")).otherwise(slug)
     return clean_title(F.initcap(F.replace(slug, F.lit("-"), F.lit(" "))))
 
 

@@ -134,11 +134,11 @@ def register_by(lines: DataFrame, ref: dt.date) -> DataFrame:
     return rows.groupBy("page").agg(F.min_by("by", "pos").alias("register_by"))
 
 
-def distinct_event_links(found: DataFrame, event: Callable[[Column], Column]) -> DataFrame:
-    """(page, url, text, title): the first link to each event address, its title from the text or else from the address."""
+def distinct_event_links(found: DataFrame, event: Callable[[Column], Column], numbers: bool = False) -> DataFrame:
+    """(page, url, text, title): the first link to each event address, its title from the text or else from the address (numbers: as title_from_url has it)."""
     rows = found.withColumn("url", urls.canonical_url(F.col("url"))).where(event(F.col("url")))
     one = rows.groupBy("page", "url").agg(F.coalesce(F.min_by(F.nullif("text", F.lit("")), F.when(F.col("text") != "", F.col("pos"))), F.lit("")).alias("text"), F.min("pos").alias("pos"))
-    return one.withColumn("title", F.when(F.length("text") >= 2, F.col("text")).otherwise(title_from_url(F.col("url"))))
+    return one.withColumn("title", F.when(F.length("text") >= 2, F.col("text")).otherwise(title_from_url(F.col("url"), numbers)))
 
 
 #: Words in paths that lead to no event, and words that lead to one.
