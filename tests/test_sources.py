@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from almanack.plans import extraction, pipeline
@@ -273,3 +274,11 @@ def test_whole_listings_need_no_page(spark):
     whole = dict(url="u", start=dt.datetime(2026, 10, 10, 19), has_time=True, venue="Hall", price_min=5.0, description="x" * 40)
     rows = as_events(spark.createDataFrame([(*whole.values(),)], "url string, start timestamp_ntz, has_time boolean, venue string, price_min double, description string"))
     assert [rows.select(profiles.needs_detail(F.lit(named)).alias("y")).first().y for named in (True, False)] == [True, False]
+
+
+def test_objects_are_handed_out_together():
+    """Objects of many small blocks leave a task in one batch, each with its own block's page."""
+    texts = [f'{{"k": {i}, "b": [{{"k": {-i}}}]}}' for i in range(3000)] + ["no json"]
+    rows = pa.RecordBatch.from_pydict({"page": [*range(3001)], "kind": ["state"] * 3001, "pos": [0] * 3001, "text": texts})
+    (found,) = objects._handed_out(iter([rows]))
+    assert {(r["page"], r["ord"], dict(r["fields"])["k"]) for r in found.to_pylist()} == {(i, o, str(-i if o else i)) for i in range(3000) for o in (0, 1)}
