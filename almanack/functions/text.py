@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
 
+def once(rows: DataFrame, name: str) -> DataFrame:
+    """rows, with a column that is made once for each: a condition on it is not turned into one on what it is made of, which would be worked out again at each place that names it."""
+    return rows.withColumn(name, F.explode(F.array(name)))
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanack.functions import dates, money, urls
-from almanack.functions.text import clean_text, clean_title, title_from_url
+from almanack.functions.text import clean_text, clean_title, once, title_from_url
 from almanack.plans.steps import written
 from almanack.schema import as_events
 from almanack.sources import tree as page_tree
@@ -26,9 +26,9 @@ def inner_text(c: Column) -> Column:
 def links(pages: DataFrame, page: str = "url", base: Column | None = None) -> DataFrame:
     """(page, pos, href, text, url): links in page order with absolute addresses, seen from `base`, else from the page column."""
     rows = pages.select(F.col(page).alias("page"), (F.col(page) if base is None else base).alias("base"), "html")
-    found = page_tree.anchors(page_tree.nodes(rows, "page", "base"), "page", "base")
-    place = F.row_number().over(Window.partitionBy("page").orderBy("n")) - 1
-    return found.select("page", place.alias("pos"), clean_text(F.col("href")).alias("href"), clean_text(F.col("text")).alias("text"), urls.absolute_url(F.col("base"), clean_text(F.col("href"))).alias("url"))
+    found = page_tree.links(rows, "page", "base")
+    found = found.select("page", "base", "pos", clean_text(F.col("href")).alias("href"), clean_text(F.col("text")).alias("text"))
+    return once(found.withColumn("url", urls.absolute_url(F.col("base"), F.col("href"))).drop("base"), "url")
 
 
 def heads(pages: DataFrame, *keep: str) -> DataFrame:
@@ -136,7 +136,7 @@ def register_by(lines: DataFrame, ref: dt.date) -> DataFrame:
 
 def distinct_event_links(found: DataFrame, event: Callable[[Column], Column], numbers: bool = False) -> DataFrame:
     """(page, url, text, title): the first link to each event address, its title from the text or else from the address (numbers: as title_from_url has it)."""
-    rows = found.withColumn("url", urls.canonical_url(F.col("url"))).where(event(F.col("url")))
+    rows = once(found.withColumn("url", urls.canonical_url(F.col("url"))), "url").where(event(F.col("url")))
     one = rows.groupBy("page", "url").agg(F.coalesce(F.min_by(F.nullif("text", F.lit("")), F.when(F.col("text") != "", F.col("pos"))), F.lit("")).alias("text"), F.min("pos").alias("pos"))
     return one.withColumn("title", F.when(F.length("text") >= 2, F.col("text")).otherwise(title_from_url(F.col("url"), numbers)))
 
@@ -152,7 +152,7 @@ EVENT_PATH = r"(?i)event|programme|program|show|play|performance|concert|whats-o
 def guessed_event_links(found: DataFrame, most: int = 40) -> DataFrame:
     """(page, url, pos, title): links of the page's own host that look like events where no pattern is known: two path parts or more, a speaking path, a text of 4 to 120 characters; the first
     `most` of a page."""
-    rows = found.withColumn("url", urls.canonical_url(F.col("url"))).where((F.col("url") != "") & (F.col("url") != urls.canonical_url(F.col("page"))))
+    rows = once(found.withColumn("url", urls.canonical_url(F.col("url"))), "url").where((F.col("url") != "") & (F.col("url") != urls.canonical_url(F.col("page"))))
     own = urls.host_of(F.col("url")) == urls.host_of(F.col("page"))
     path = F.array_join(urls.path_segments(F.col("url")), "/")
     rows = rows.where(own & (F.size(urls.path_segments(F.col("url"))) >= 2) & F.length("text").between(4, 120) & ~path.rlike(NO_EVENT_PATH) & path.rlike(EVENT_PATH))
@@ -184,7 +184,8 @@ def card_boundaries(tree: DataFrame, event: Callable[[Column], Column], page: st
     the last link before, and ends before the first link behind, that leads elsewhere. Of the nearest ancestors those count up to the first that holds another event, a page's heading, too
     many lines or too much text, or is a whole page; the card is the largest with two lines or more, up to the first with four, else the link itself."""
     c = F.col
-    found = page_tree.anchors(tree, page).withColumn("url", urls.canonical_url(urls.absolute_url(c(page), c("href"))))
+    found = tree.where("tag = 'a'").select(page, "n", "last", "up", F.trim(c("attrs")["href"]).alias("href")).where("href is not null")
+    found = once(found.withColumn("url", urls.canonical_url(urls.absolute_url(c(page), c("href")))), "url")
     found = found.where(event(c("url"))).select(page, "url", c("n").alias("link"), c("last").alias("link_last"), "up")
     in_page = Window.partitionBy(page).orderBy("link")
     found = found.withColumns({"pos": F.row_number().over(in_page) - 1, "was": F.lag("url").over(in_page), "next": F.lead("url").over(in_page), "was_at": F.lag("link").over(in_page), "next_at": F.lead("link").over(in_page)})

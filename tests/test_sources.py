@@ -282,3 +282,25 @@ def test_objects_are_handed_out_together():
     rows = pa.RecordBatch.from_pydict({"page": [*range(3001)], "kind": ["state"] * 3001, "pos": [0] * 3001, "text": texts})
     (found,) = objects._handed_out(iter([rows]))
     assert {(r["page"], r["ord"], dict(r["fields"])["k"]) for r in found.to_pylist()} == {(i, o, str(-i if o else i)) for i in range(3000) for o in (0, 1)}
+
+
+def test_links_alone_are_those_of_the_tree(spark):
+    html = "<a href=' /a '>one <b>two</b></a><a name=x>none</a><p><a HREF=\"/b?x=1&amp;y=2\"><img alt=i></a> between <a href='/c'>three<a href=/d>four</a> five<a href='/e>"
+    pages = page(spark, html)
+    tree = page_tree.anchors(page_tree.nodes(pages, "url"), "url").orderBy("url", "n").collect()
+    alone = page_tree.links(pages, "url").orderBy("url", "pos").collect()
+    assert [(r.url, r.href, r.text) for r in alone] == [(r.url, r.href, r.text) for r in tree] == [("https://x.test/city/list", h, t) for h, t in (("/a", "one two"), ("/b?x=1&y=2", ""), ("/c", "three"), ("/d", "four"))]
+    assert [r.pos for r in alone] == [0, 1, 2, 3]
+
+
+def test_first_names_and_members(spark):
+    """The preferred name that an object has, spelled so before any capitals; the first member that is not empty."""
+    rows = spark.createDataFrame([({"Title": '"low"', "event_name": '"named"'}, {"title": '"low"', "event_name": '"named"'}, '{"contentUrl": "", "value": 3, "text": "t"}'), ({"TITLE": '"low"'}, {"title": '"low"'}, "{}")], "fields map<string,string>, lows map<string,string>, v string")
+    got = rows.select(objects.pick(objects.KEYS["title"]).alias("p"), objects.member(F.col("v"), *objects.TEXT_OF).alias("m")).collect()
+    assert [(r.p, r.m) for r in got] == [('"named"', "3"), ('"low"', None)]
+
+
+def test_made_pages_lie_in_all_partitions(spark):
+    from almanack.plans.page_queries import card_pages
+
+    assert card_pages(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
