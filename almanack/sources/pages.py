@@ -179,88 +179,44 @@ def may_title(line: Column) -> Column:
     return F.length(line).between(3, 200) & ~line.rlike(BADGES) & ~line.rlike(PRICED) & ~line.rlike(DATED) & ~F.lower(line).isin(*KINDS)
 
 
-def card_boundaries(tree: DataFrame, event: Callable[[Column], Column], page: str = "page", most_lines: int = 12, most_chars: int = 700) -> DataFrame:
-    """(page, pos, url, link, link_last, card, card_last): for each link to an event the element that is its card. A link's ancestors are intervals; one holds no other event if it begins after
-    the last link before, and ends before the first link behind, that leads elsewhere. Of the nearest ancestors those count up to the first that holds another event, a page's heading, too
-    many lines or too much text, or is a whole page; the card is the largest with two lines or more, up to the first with four, else the link itself."""
+def card_boundaries(links: DataFrame, event: Callable[[Column], Column], *page: str) -> DataFrame:
+    """(page, url, link, card) for each link (tree.bounded_links) to an event: the element that is its card. An element holds no other event if it begins after the last link before, and ends before
+    the first link behind, that leads elsewhere; the card is the largest of a link's elements that do so, else the link itself."""
     c = F.col
-    found = tree.where("tag = 'a'").select(page, "n", "last", "up", F.trim(c("attrs")["href"]).alias("href")).where("href is not null")
-    found = once(found.withColumn("url", urls.canonical_url(urls.absolute_url(c(page), c("href")))), "url")
-    found = found.where(event(c("url"))).select(page, "url", c("n").alias("link"), c("last").alias("link_last"), "up")
-    in_page = Window.partitionBy(page).orderBy("link")
-    found = found.withColumns({"pos": F.row_number().over(in_page) - 1, "was": F.lag("url").over(in_page), "next": F.lead("url").over(in_page), "was_at": F.lag("link").over(in_page), "next_at": F.lead("link").over(in_page)})
+    found = once(links.where("href is not null").withColumn("url", urls.absolute_url(c("page"), c("href"))), "url")
+    found = once(found.withColumn("url", urls.canonical_url(c("url"))), "url").where(event(c("url"))).select(*page, "url", "link", "up")
+    in_page = Window.partitionBy(*page).orderBy("link")
+    found = found.withColumns({"was": F.lag("url").over(in_page), "next": F.lead("url").over(in_page), "was_at": F.lag("link").over(in_page), "next_at": F.lead("link").over(in_page)})
     before = F.last(F.when(c("was") != c("url"), c("was_at")), ignorenulls=True).over(in_page)
-    after = F.first(F.when(c("next") != c("url"), c("next_at")), ignorenulls=True).over(in_page.rowsBetween(0, Window.unboundedFollowing))
+    behind = Window.partitionBy(*page).orderBy(c("link").desc())
+    after = F.last(F.when(c("next") != c("url"), c("next_at")), ignorenulls=True).over(behind)
     found = found.withColumns({"before": F.coalesce(before, F.lit(-1)), "after": F.coalesce(after, F.lit(1 << 30))})
-    levels = found.select("*", F.posexplode("up").alias("level", "n"))
-    elements = tree.where("tag != ''").select(page, "n", c("last").alias("end"), c("tag").alias("of"))
-    levels = levels.join(elements, [page, "n"])
-    alone = (c("n") > c("before")) & (c("end") < c("after")) & ~c("of").isin(*PAGE_LEVEL)
-    levels = levels.where(alone).select(page, "pos", "url", "link", "link_last", "level", "n", "end")
-    # what an interval holds: by blocks of numbers, so that a page is not met whole
-    size = 64
-    spread = levels.withColumn("block", F.explode(F.sequence(F.floor(c("n") / size), F.floor(c("end") / size))))
-    things = tree.where("text is not null or tag in ('h1', 'h2')").select(page, c("n").alias("m"), c("last").alias("m_last"), "tag", "text", "line", "anchor", F.floor(c("n") / size).alias("block"))
-    own = spread.join(things, [page, "block"]).where(c("m").between(c("n"), c("end")))
-    heading = (c("tag") != "") & ~c("link").between(c("m"), c("m_last")) & ~c("m").between(c("link"), c("link_last"))
-    said = own.where(heading | ((c("tag") == "") & _own_text())).groupBy(page, "pos", "level", "line").agg(F.max(heading).alias("foreign"), F.sum(F.when(c("tag") == "", F.length(page_tree.squeezed(c("text"))))).alias("chars"))
-    said = said.groupBy(page, "pos", "level").agg(F.count("chars").alias("lines"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.bool_or("foreign").alias("foreign"))
-    levels = levels.join(said, [page, "pos", "level"], "left")
-    by_level = Window.partitionBy(page, "pos").orderBy("level")
-    good = ~F.coalesce(c("foreign"), F.lit(False)) & (F.coalesce(c("lines"), F.lit(0)) <= most_lines) & (F.coalesce(c("chars"), F.lit(0)) <= most_chars)
-    levels = levels.withColumns({"right": F.row_number().over(by_level) == c("level") + 1, "good": F.min(good).over(by_level), "full": F.coalesce(F.max(c("lines") >= 4).over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))})
-    best = levels.where("right and good and not full and lines >= 2").groupBy(page, "pos").agg(F.max_by(F.struct("n", "end"), "level").alias("b"))
-    out = found.select(page, "pos", "url", "link", "link_last").join(best, [page, "pos"], "left")
-    return out.select(page, "pos", "url", "link", "link_last", F.coalesce("b.n", "link").alias("card"), F.coalesce("b.end", "link_last").alias("card_last"))
-
-
-def _own_text() -> Column:
-    """Text of no link, or of this one."""
-    return (F.col("anchor") < 0) | F.col("anchor").between(F.col("link"), F.col("link_last"))
-
-
-#: Elements that are no card: all of a page.
-PAGE_LEVEL = ("html", "body", "main")
+    alone = F.filter("up", lambda x: (x.n > c("before")) & (x.end < c("after")))
+    return found.select(*page, "url", "link", F.coalesce(F.try_element_at(alone, F.lit(-1)).n, "link").alias("card"))
 
 
 def cards(pages: DataFrame, event: Callable[[Column], Column], page: str = "url", most_lines: int = 12, most_chars: int = 700) -> DataFrame:
     """(page, pos, url, title, date_text, price_text, categories, venue, lines): a card for each link to an address that `event` takes for an event's, in the element that `card_boundaries`
     finds, other links' texts left out; links of one address in one card make one. The title is what the link's own attributes, heading, picture or text say, else a heading or picture of the card, else the
-    longest of the first three lines left; date and price are the first lines that read so; lines that name a kind are categories; the first line left over is the venue."""
+    longest of the first three lines left; date and price are the first lines that read so; lines that name a kind are categories; the first line left over is the venue.
+
+    Pages are read twice, once for the links and once for what their cards hold, and should be a stored table. Only links and cards leave the tasks."""
     c = F.col
-    tree = written(page_tree.nodes(pages.select(F.col(page).alias("page"), "html"), "page"), "page-tree")
-    found = written(card_boundaries(tree, event, "page", most_lines, most_chars), "page-cards")
-    same = found.select("page", "url", F.col("link").alias("anchor")).withColumn("mine", F.lit(True))
-    one = found.groupBy("page", "url", "card", "card_last").agg(F.min("pos").alias("pos"), F.min("link").alias("link"), F.min_by("link_last", "link").alias("link_last"))
-    size = 64
-    things = tree.where("tag in ('', 'img', 'a') or heading >= 0").select("page", "n", "tag", "text", "attrs", "line", "anchor", "heading", F.floor(c("n") / size).alias("block"))
-    things = things.join(same.withColumnRenamed("url", "to"), ["page", "anchor"], "left")
-    spread = one.withColumn("block", F.explode(F.sequence(F.floor(c("card") / size), F.floor(c("card_last") / size))))
-    own = spread.join(things, ["page", "block"]).where(c("n").between(c("card"), c("card_last")) & ((c("anchor") < 0) | (c("mine") & (c("to") == c("url")))))
-    text = c("tag") == ""
-    inside = c("n").between(c("link"), c("link_last"))
-    key = ["page", "url", "card"]
-    head = lambda within: F.min(F.when(within & text & (c("heading") >= 0), c("heading")))
-    first = own.groupBy(*key).agg(
-        F.first("pos").alias("pos"), F.first("link").alias("link"), F.first("link_last").alias("link_last"),
-        F.min_by(c("attrs")["alt"], F.when(inside & (c("tag") == "img") & (c("attrs")["alt"] != ""), c("n"))).alias("own_alt"),
-        F.min_by(c("attrs")["alt"], F.when((c("tag") == "img") & (c("attrs")["alt"] != ""), c("n"))).alias("alt"),
-        head(inside).alias("own_head"), head(F.lit(True)).alias("head"), page_tree.joined("n", c("text"), inside & text).alias("own_text"),
-        F.sort_array(F.collect_list(F.when(text, F.struct("n", "line", "text", "heading")))).alias("texts"),
-    )
-    link = tree.where("tag = 'a'").select("page", c("n").alias("link"), c("attrs")["title"].alias("named"), c("attrs")["aria-label"].alias("labelled"))
-    first = first.join(link, ["page", "link"])
-    of = lambda which: page_tree.squeezed(F.array_join(F.transform(F.filter("texts", lambda t: t.heading == c(which)), lambda t: t.text), " "))
-    numbers = F.array_distinct(F.transform("texts", lambda t: t.line))
-    lines = F.transform(numbers, lambda i: page_tree.squeezed(F.array_join(F.transform(F.filter("texts", lambda t: t.line == i), lambda t: t.text), " ")))
-    out = first.withColumn("lines", F.slice(F.filter(lines, lambda x: x != ""), 1, most_lines))
+    stored = pages.select(c(page).alias("page"), F.xxhash64("html").alias("copy"), "html")
+    key = ["page", "copy"]  # an address may be stored with several texts
+    found = card_boundaries(page_tree.bounded_links(stored, *key, most_lines=most_lines, most_chars=most_chars), event, *key)
+    found = found.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("link", "url", "card"))).alias("x")).select(*key, "x.link", "x.url", "x.card")
+    out = page_tree.held(stored.join(found, key), "page")
+    lines = F.transform("lines", page_tree.squeezed)
+    out = out.withColumn("lines", F.slice(F.filter(lines, lambda x: x != ""), 1, most_lines))
     out = out.withColumn("lines", F.aggregate("lines", F.array().cast("array<string>"), lambda a, x: F.when(F.length(F.array_join(a, " ")) + F.length(x) <= most_chars, F.concat(a, F.array(x))).otherwise(a)))
     line = lambda rx: F.coalesce(F.get(F.filter("lines", lambda x: x.rlike(rx) & ~x.rlike(BADGES)), F.lit(0)), F.lit(""))
-    out = out.withColumns({"date_text": line(DATED), "price_text": line(PRICED)})
+    out = once(once(once(out, "lines").withColumn("date_text", line(DATED)), "date_text").withColumn("price_text", line(PRICED)), "price_text")
     rest = F.filter("lines", lambda x: ~x.rlike(BADGES) & (x != F.col("date_text")) & (x != F.col("price_text")) & ~F.lower(x).isin(*KINDS))
-    names = F.transform(F.array("named", "labelled", of("own_head"), "own_alt", "own_text", of("head"), "alt"), lambda x: page_tree.squeezed(F.coalesce(x, F.lit(""))))
+    names = F.transform("told", lambda x: page_tree.squeezed(F.coalesce(x, F.lit(""))))
     longest = F.reduce(F.slice("rest", 1, 3), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    out = out.withColumns({"rest": rest, "told": names}).withColumn("title", clean_title(F.coalesce(F.get(F.filter("told", may_title), F.lit(0)), longest)))
+    out = once(once(out.withColumn("rest", rest), "rest").withColumn("title", F.coalesce(F.get(F.filter(names, may_title), F.lit(0)), longest)), "title")
+    out = once(out.withColumn("title", clean_title(F.col("title"))), "title")
     venue = F.get(F.filter("rest", lambda x: (x != F.col("title")) & F.length(x).between(3, 140)), F.lit(0))
     return out.select("page", "pos", "url", "title", "date_text", "price_text", F.filter("lines", lambda x: F.lower(x).isin(*KINDS)).alias("categories"), F.coalesce(venue, F.lit("")).alias("venue"), "lines").where("title != ''")
 

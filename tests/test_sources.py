@@ -169,6 +169,14 @@ def test_nested_cards(spark):
     assert {t: (x.start.day, x.venue, x.price_min) for t, x in got.items()} == {f"Show of {i} Rivers": (10 + i, f"Room {i}", 100.0 * i) for i in (1, 2, 3)}
 
 
+def test_cards_of_one_address_stored_twice(spark):
+    """Each text is read for itself, copies too; a second link to the event is in its card, a link elsewhere is not."""
+    card = lambda i: f"<div><a href=/events/n/{i}{i}{i}{i}{i}{i}><b>Show of {i} Rivers</b></a><p>1{i} Dec 2026<p>Room {i}<p>₹ {i}00<a href=/events/n/{i}{i}{i}{i}{i}{i}>at seven</a><a href=/about>About</a></div>"
+    rows = [("https://x.test/list", x) for x in ("<body>" + card(1) + card(2), "<ul><li>" + card(3), "<ul><li>" + card(3), None, "")]
+    got = {(x.title, x.date_text, x.venue, x.price_text, *x.lines[-1:]) for x in P.cards(spark.createDataFrame(rows, "url string, html string"), EVENT).collect()}
+    assert got == {(f"Show of {i} Rivers", f"1{i} Dec 2026", f"Room {i}", f"₹ {i}00", "at seven") for i in (1, 2, 3)}
+
+
 def test_profiles(spark):
     seeds = profiles.seeds(spark, ["bookmyshow", "district", "ncpa", "eventbrite"])
     assert seeds.where("source = 'district' and city = 'Delhi NCR' and template = 0").count() == 5 and {x.city for x in seeds.where("source = 'ncpa'").collect()} == {"Mumbai"}
