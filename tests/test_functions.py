@@ -135,3 +135,11 @@ def test_places(spark):
     assert column(spark, ["x1", "ABBA", "1984", "Untitled", "Oct 11", "Jazz night", ""], places.is_placeholder_title) == [True, False, True, True, True, False, True]
     rows = spark.createDataFrame([(1, True, "", "t"), (2, True, "Hall", "t"), (3, False, "Online Event", "t"), (4, False, "Hall", "Virtual reality day"), (5, False, "Hall", "A webinar")], "i int, o boolean, v string, t string")
     assert [x.y for x in rows.select("i", places.is_online(F.col("o"), F.col("v"), F.col("t")).alias("y")).orderBy("i").collect()] == [True, False, True, False, True]
+
+
+def test_a_date_text_is_read_once(monkeypatch):
+    """A worker reads a text once, in whichever list it stands."""
+    seen, real = [], dates.read_range
+    monkeypatch.setattr(dates, "read_range", lambda s, ref: seen.append(s) or real(s, ref))
+    lists, ref = [["nothing"], ["3 Nov 1996", "2 Nov 1996"]], dt.date(1996, 2, 29)
+    assert [dates._first_of(lists, ref)[0] for _ in range(3)] == [dt.datetime(1996, 11, 2)] * 3 and seen == ["nothing", "3 Nov 1996", "2 Nov 1996"]
